@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .frames import write_and_read
+from .neardup import group_documents
 from .packing import pack_documents
+from .quality import classify
 from .sharding import HashTree, shard_documents
 
 
@@ -20,6 +22,14 @@ def op4_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_documents(read_table(spark, sf_dir, "documents"), similarity=(85, 100))
+
+
 def op10_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(read_table(spark, sf_dir, "documents"))
 
