@@ -11,6 +11,7 @@ from .frames import write_and_read
 from .neardup import group_documents
 from .packing import pack_documents
 from .quality import classify
+from .secrets import scan_documents
 from .sharding import HashTree, shard_documents
 
 
@@ -22,6 +23,10 @@ def op4_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op7_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
