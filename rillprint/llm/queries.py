@@ -5,14 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
+from .decontam import contaminated
 from .frames import write_and_read
 from .neardup import group_documents
 from .packing import pack_documents
+from .pii import with_surrogates
 from .quality import classify
 from .secrets import scan_documents
 from .sharding import HashTree, shard_documents
+from .vptree import nearest
+
+
+def op1_greedy_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +31,10 @@ def op4_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(read_table(spark, sf_dir, "documents"))
 
@@ -31,6 +43,10 @@ def op7_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_surrogates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op9_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_documents(read_table(spark, sf_dir, "documents"), similarity=(85, 100))
 
