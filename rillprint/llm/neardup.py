@@ -9,8 +9,8 @@ pairs at a distance under 2 * CHUNKS are sure to meet, most others of the wanted
 Rows with equal shingle sets are one class from the start, so groups of exact copies count once.  In a group that
 shares a key, every member is compared with the smallest member only; links are confirmed on the full
 sets and joined to components.  Where members of a group are then still in different components,
-the pairs between those components are compared as well.  So no link between different texts is lost, and a
-large group of copies costs as many comparisons as it has members.
+those members that share one of their rarest shingles are compared as well.  So no link between different
+texts is lost, and a large group of copies costs about as many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -31,6 +31,8 @@ CHUNKS, CHUNK_SYMBOLS = 10, 6
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 SLICES = 4  # bits of each symbol that the quick distance looks at
 SIMILARITY = (80, 100)
+MAP_WORDS = 16  # 64-bit words of a set's bit map
+MAP = [f"w{k}" for k in range(MAP_WORDS)]
 WORDS_KEPT = 500_000
 SETS = "doc_id long, n_shingles long, f1 long, f2 long, signature binary"
 
@@ -104,7 +106,10 @@ def read_full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
         ends = np.cumsum([0, *map(len, sets)])
         column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(flat))
-        yield pa.RecordBatch.from_arrays([batch["id"], column], ["id", "shingles"])
+        bits = np.zeros((len(sets), 64 * MAP_WORDS), bool)
+        bits[np.repeat(np.arange(len(sets)), np.diff(ends)), (flat >> np.uint64(32)) % np.uint64(64 * MAP_WORDS)] = True
+        maps = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+        yield pa.RecordBatch.from_arrays([batch["id"], column, *[signed(maps[:, k].copy()) for k in range(MAP_WORDS)]], ["id", "shingles", *MAP])
 
 
 def index_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +143,14 @@ def most_errors(similarity: float, doubt: float = 1e-9) -> int:
     return 0
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, brief: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """A written table (id, shingles) of these documents, made from their whole texts."""
+    texts = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
+    return written(texts.mapInArrow(read_full, "id long, shingles array<long>, " + ", ".join(f"{w} long" for w in MAP)), "shingles")
+
+
+def near_enough(pairs: DataFrame, brief: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that sizes and the quick distance leave possible."""
     part, whole = similarity
     a, b = (brief.select(*[F.col(c).alias(f"{x}_{c}") for c in brief.columns]) for x in "ab")
     unlike = None
@@ -148,13 +159,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, brief: DataFrame, similarity: t
         unlike = bits if unlike is None else unlike.bitwiseOR(bits)
     near = F.bit_count(unlike) <= most_errors(part / whole)
     sizes = F.least("a_n", "b_n") * whole >= F.greatest("a_n", "b_n") * part
-    hopeful = pairs.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id")).where(near & sizes).select("a", "b")
-    hopeful = written(hopeful.distinct(), "pairs")
-    ids = hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
-    full = written(texts.mapInArrow(read_full, "id long, shingles array<long>"), "shingles")
+    return pairs.join(a, F.col("a") == F.col("a_id")).join(b, (F.col("b") == F.col("b_id")) & near & sizes).select("a", "b").distinct()
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    part, whole = similarity
     sa, sb = (full.select(F.col("id").alias(f"{x}_id"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
-    both = hopeful.join(sa, F.col("a") == F.col("a_id")).join(sb, F.col("b") == F.col("b_id"))
+    both = pairs.join(sa, F.col("a") == F.col("a_id")).join(sb, F.col("b") == F.col("b_id"))
     shared = F.size(F.array_intersect("a_set", "b_set")).cast("long")
     union = F.size("a_set") + F.size("b_set") - shared
     return both.where(shared * whole >= union * part).select("a", "b").distinct()
@@ -199,9 +211,10 @@ def group_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -
     shared = written(keys.join(groups.where(F.col("first") < F.col("last")), "key"), "shared")
     brief = written(classes.select("id", "n_shingles", "signature").mapInArrow(slices, "id long, n long, " + ", ".join(f"s{i} long" for i in range(SLICES))), "brief")
     star = shared.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(confirmed(star, rows, brief, similarity), "confirmed")
-    first = components(links)
-    links = links.union(confirmed(between(shared, first), rows, brief, similarity))
+    hopeful = written(near_enough(star, brief, similarity), "pairs")
+    ids = hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = written(confirmed(hopeful, full_sets(rows, ids), similarity), "confirmed")
+    links = links.union(between(shared, components(links), rows, similarity))
     classed = sets.join(classes.select(*same, "id"), same, "left")
     # an id may be in several classes where its rows have different texts
     alike = classed.where(F.col("doc_id") != F.col("id")).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
@@ -216,11 +229,31 @@ def repeated(sets: DataFrame) -> DataFrame:
     return sets.groupBy(F.col("doc_id").alias("again")).agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo < hi").select("again")
 
 
-def between(shared: DataFrame, first: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of a group of three or more that are in different components so far."""
+def between(shared: DataFrame, first: DataFrame, docs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) of members of groups that are in different components so far.
+
+    Of two similar sets, each has one of the other's among its rarest shingles (as many as it could lack,
+    and one).  So only documents that share such a shingle are compared, and a copy with many
+    changes of its own, whose rarest shingles are all its own, is compared with nothing.
+    """
+    part, whole = similarity
     member = shared.where(F.col("members") > 2).select("key", "id").join(first, "id", "left")
     member = member.select("key", "id", F.coalesce("component", "id").alias("c"))
-    open_ = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = written(member.join(open_, "key", "left_semi"), "rest")
-    a, b = (rest.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    return a.join(b, "key").where(F.col("ca") < F.col("cb")).select("a", "b").distinct()
+    mixed_keys = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    rest = written(member.join(mixed_keys, "key", "left_semi").select("id", "c").distinct(), "rest")
+    full = full_sets(docs, rest.select("id"))
+    each = full.join(rest, "id").select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"), *MAP)
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("often"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    # shingles of one component alone come first in the order of rarity: no pair looked for here shares them
+    ranked = each.join(often, "s").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "s")))
+    ranked = ranked.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    prefix = F.col("n") - F.floor((F.col("n") * part + whole - 1) / whole) + 1
+    rare = written(ranked.where(F.col("n") - F.col("m") + F.col("rank") <= prefix).select("id", "c", "n", "m", "s", *MAP), "rare")
+    a, b = (rare.select("s", F.col("id").alias(x), *[F.col(k).alias(f"{k}{x}") for k in ["c", "n", "m", *MAP]]) for x in "ab")
+    # they can share no more than either has of shingles that lie in several components, and none of those
+    # whose bit the other's map lacks
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{w}{x}").bitwiseAND(F.bitwise_not(f"{w}{y}"))) for w in MAP), F.lit(0))
+    most = F.least("ma", "mb", F.col("na") - lacks("a", "b"), F.col("nb") - lacks("b", "a"))
+    sizes = most * (whole + part) >= (F.col("na") + F.col("nb")) * part
+    pairs = written(a.join(b, "s").where((F.col("ca") < F.col("cb")) & sizes).select("a", "b").distinct(), "between")
+    return confirmed(pairs, full, similarity)
