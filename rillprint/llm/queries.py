@@ -16,6 +16,7 @@ from .pii import with_surrogates
 from .quality import classify
 from .secrets import scan_documents
 from .sharding import HashTree, shard_documents
+from .suffix_dedup import remove_repeats
 from .vptree import nearest
 
 
@@ -27,6 +28,10 @@ def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), HashTree.of(8))
 
 
+def op3_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op4_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
