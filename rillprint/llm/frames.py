@@ -199,7 +199,8 @@ def read_files(files: DataFrame) -> DataFrame:
     """DOCS of every document in the files; start counts the ids of all documents before it."""
     order = Window.orderBy("task", "file")  # a row for each file of up to FILE_BYTES
     begin = files.select("path", (F.sum("ids").over(order) - F.col("ids")).alias("start"))
-    return begin.repartition("path").mapInArrow(read_rows, DOCS)
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said outright, else so few bytes of paths go to one task
+    return begin.repartition(n, "path").mapInArrow(read_rows, DOCS)
 
 
 def write_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
