@@ -57,6 +57,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_tasks(df: DataFrame, name: str) -> DataFrame:
     """The rows as a written table that also says which task wrote them, for numbers()."""
     return written(df.withColumn("__task", F.spark_partition_id()), name)

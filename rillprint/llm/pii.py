@@ -173,9 +173,9 @@ class Surrogates:
 
 
 class Replace:
-    """Batches with a text column to the same with surrogates; n_entities is added where it is asked for."""
+    """Batches with a text column to the same with surrogates; a column of counts is added where it is asked for."""
 
-    def __init__(self, key: bytes, counts: bool):
+    def __init__(self, key: bytes, counts: str | None):
         self.key, self.counts = key, counts
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +191,7 @@ class Replace:
             names = list(batch.schema.names)
             if self.counts:
                 columns.append(pa.array(counts, pa.int64()))
-                names.append("n_entities")
+                names.append(self.counts)
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -207,13 +207,13 @@ class List:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["type", "entity", "surrogate"])
 
 
-def with_surrogates(docs: DataFrame, key: bytes = KEY, counts: bool = False) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: bytes = KEY, counts: str | None = None) -> DataFrame:
     """The rows of docs, with surrogates in the text; no other column changes.
 
-    Null and empty texts stay; equal texts get equal surrogates; an empty table gives no rows.  With ``counts``
-    a column n_entities (long) is added.
+    Null and empty texts stay; equal texts get equal surrogates; an empty table gives no rows.  ``counts`` names a
+    column (long) to add for the number of entities.
     """
-    schema = StructType([*docs.schema.fields, *([StructField("n_entities", LongType())] if counts else [])])
+    schema = StructType([*docs.schema.fields, *([StructField(counts, LongType())] if counts else [])])
     return docs.mapInArrow(Replace(key, counts), schema)
 
 

@@ -17,6 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
+
+from .common import fresh
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hash of their doc_id.
 MAX_LABELLED = 6_000
@@ -128,8 +131,8 @@ class Featurize:
 
 
 class Score:
-    def __init__(self, at: np.ndarray, weights: np.ndarray, bits: int):
-        self.at, self.weights, self.bits = at, weights, bits
+    def __init__(self, at: np.ndarray, weights: np.ndarray, bits: int, to: str = "__score"):
+        self.at, self.weights, self.bits, self.to = at, weights, bits, to
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense, words = np.zeros((1 << self.bits) + 1), Words()
@@ -141,7 +144,7 @@ class Score:
                 margins[i] += dense[at] @ values
             score = 1 / (1 + np.exp(-np.clip(margins, -35, 35)))
             columns = [*batch.columns, pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, self.to])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -162,14 +165,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labell
 
 
 def score_documents(docs: DataFrame, scorer: Score) -> DataFrame:
-    """All columns of docs (with doc_id and text) and __score, 0 to 1.
+    """All columns of docs (with a text) and one named by scorer.to, 0 to 1.
 
     Texts without words, null ones included, get the score of the bias alone; with no labels at all every
     score is 0.5.  Equal texts get equal scores; an empty table gives no rows.
     """
-    from pyspark.sql.types import DoubleType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("__score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add(scorer.to, DoubleType())
     return docs.mapInArrow(scorer, schema)
 
 
@@ -181,4 +182,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, whose text the classifier does not reject."""
-    return score_documents(docs, fit_quality(docs, labels)).where(F.col("__score") >= 0.5).drop("__score")
+    scorer = fit_quality(docs, labels)
+    scorer.to = fresh("__score", docs)
+    return score_documents(docs, scorer).where(F.col(scorer.to) >= 0.5).drop(scorer.to)

@@ -49,7 +49,7 @@ def op7_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_surrogates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return with_surrogates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts="n_entities")
 
 
 def op9_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
