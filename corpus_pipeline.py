@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillprint.llm import decontam, neardup, packing, pii, quality
-from rillprint.llm.common import read_table, written
+from rillprint.llm.common import fresh, read_table, written
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars follows the text."""
-    new = pii.with_surrogates(docs, counts=True)
+    new = pii.with_surrogates(docs, counts=(found := fresh("n_entities", docs)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new = new.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        new = new.withColumn("n_chars", F.when(F.col(found) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return new.select(docs.columns)
 
 
