@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: The public vocabulary that the token operators use unless told otherwise.
 VOCABULARY = "byte_bpe_50k.json"
+#: A batch of rows for a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -38,6 +40,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session sending rows to Python workers in batches of bounded rows and bytes (a longer text alone)."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, and lost executors cost nothing."""
     path = new_path(df.sparkSession, name)

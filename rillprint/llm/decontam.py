@@ -18,10 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MIN_MATCH = 4  # tokens of the shortest tile
 COVERAGE = 0.5  # share of an item's tokens that makes a document contaminated
 BLOCK_BYTES = 32 << 20
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 FOUND = "doc_id long, item_id long, item_tokens int, covered int, coverage double, tiles int, longest int"
 
 _SPACES = bytes.maketrans(bytes(i for i in range(128) if not chr(i).isalnum()), b" " * sum(not chr(i).isalnum() for i in range(128)))
@@ -213,7 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     Items of fewer than MIN_MATCH tokens, null ones included, match nothing; null and empty texts cover
     nothing; repeated documents or items are each reported; empty tables give no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
     for items in blocks(benchmark):
         part = rows.mapInArrow(Find(items, coverage), FOUND)
@@ -223,6 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs, all columns as they are, that cover no item to ``coverage``."""
+    small_batches(docs)
     for items in blocks(benchmark):
         docs = docs.mapInArrow(Drop(items, coverage), docs.schema)
     return docs

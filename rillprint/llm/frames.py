@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, vocabulary, written
+from .common import new_path, small_batches, vocabulary, written
 from .tokens import encoder
 
 # Fixed values of the public zstandard seekable format.
@@ -175,7 +175,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, file
 
     Returns FILES, ordered by (task, file).  Equal ids are ordered by their text's hash.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["doc_id", F.xxhash64("text")]
     dealt = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)

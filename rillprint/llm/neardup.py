@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 SHINGLE_WORDS = 5
 CHUNKS, CHUNK_SYMBOLS = 10, 6
@@ -33,7 +33,7 @@ SLICES = 4  # bits of each symbol that the quick distance looks at
 SIMILARITY = (80, 100)
 MAP_WORDS = 16  # 64-bit words of a set's bit map
 MAP = [f"w{k}" for k in range(MAP_WORDS)]
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 SETS = "doc_id long, n_shingles long, f1 long, f2 long, signature binary"
 
 _DRAWS = np.random.default_rng(20240607)
@@ -201,7 +201,7 @@ def group_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -
     Rows with the same doc_id count as one document, linked by what any of them links.  A row with a null
     doc_id has a null component and is kept.  Other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = written(rows.mapInArrow(read_sets, SETS), "sets")
     some = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     same = ["n_shingles", "f1", "f2"]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbers, vocabulary, with_tasks
+from .common import numbers, small_batches, vocabulary, with_tasks
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -118,7 +118,7 @@ class Pieces:
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """PIECES of every row: ids with END_ID appended, cut where longer than ``capacity``. A null text is empty."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(Pieces(tokenizer or vocabulary(), capacity), PIECES)
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .common import small_batches
+
 KEY = b"surrogates"  # a parameter: the same key gives the same surrogates
 ROUNDS = 6
 
@@ -214,7 +216,7 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, counts: str | None = None
     column (long) to add for the number of entities.
     """
     schema = StructType([*docs.schema.fields, *([StructField(counts, LongType())] if counts else [])])
-    return docs.mapInArrow(Replace(key, counts), schema)
+    return small_batches(docs).mapInArrow(Replace(key, counts), schema)
 
 
 def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:

@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import fresh
+from .common import fresh, small_batches
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hash of their doc_id.
 MAX_LABELLED = 6_000
 BITS = 20
 EPOCHS = 3
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 
 _LETTERS, _DIGITS, _AGAIN = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
 
@@ -156,7 +156,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labell
     """A scorer fitted on at most ``max_labelled`` labelled rows that are not held out."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.select("doc_id", "quality").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id", "quality").limit(max_labelled)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_labelled rows at most
+    texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_labelled rows at most
     rows = texts.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), F.col("text").cast("string"))
     found = rows.mapInArrow(Featurize(bits), "doc_id long, quality int, at binary, values binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["quality"], bytes(r["at"])))

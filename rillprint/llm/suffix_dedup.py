@@ -17,6 +17,7 @@ What moves is one compressed row for each block and shard that have to do with o
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import new_path, small_batches, written
 from .suffix import suffix_array
 
 WINDOW = 50
@@ -37,6 +38,7 @@ GRAM = 16
 STARTS = WINDOW - GRAM + 1  # places of a gram in a window
 BLOCK_BYTES = 4 << 20  # of text; a longer text has a block of its own
 SHARD_BYTES = 12 << 20  # of text for each shard on the whole
+STEP = 1 << 16  # windows looked at together, in the processor's cache
 SORT_BYTES = 6 << 20  # of segments that are sorted at once, but for those of one anchor
 
 BLOCKS = "block long, path string, bytes long"
@@ -57,6 +59,15 @@ def unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
     return [np.frombuffer(raw[a:b], t) for a, b, t in zip(ends, ends[1:], types)]
 
 
+def stretches(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the stretches in which all keys stay the same."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    begin = np.flatnonzero(new)
+    return begin, np.append(begin, len(new))[1:]
+
+
 class WriteBlocks:
     """(doc_id, text) batches to block files; a row for each."""
 
@@ -105,45 +116,63 @@ class Block:
 
 
 def segments(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, anchor (58 bits) and document of each stretch with one anchor."""
-    n = len(text)
-    if n < WINDOW:
+    """First window, number of windows, anchor (a number for its gram, spread over 64 bits) and document of each stretch with one anchor."""
+    windows = len(text) - WINDOW + 1
+    raw = text.tobytes() + bytes(24)
+    firsts, places, grams, last = [], [], [], -1
+    for low in range(0, max(windows, 0), STEP):
+        high = min(low + STEP, windows)
+        n = high - low + STARTS - 1  # grams in these windows
+        words = np.empty(n + 8, np.uint64)
+        for k in range(8):
+            words[k::8] = np.frombuffer(raw, "<u8", len(range(k, n + 8, 8)), low + k)
+        h = words[:n] * np.uint64(_BASE)
+        h += words[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        # the low six bits count the places from the window's start, so that the leftmost of equal grams is least
+        h &= ~np.uint64(63)
+        width = 1
+        while 2 * width <= STARTS:
+            h = np.minimum(h[:-width], h[width:] + np.uint64(width))
+            width *= 2
+        if width < STARTS:
+            h = np.minimum(h[: width - STARTS], h[STARTS - width :] + np.uint64(STARTS - width))
+        at = np.arange(low, high) + (h & np.uint64(63)).astype(np.int64)
+        for end in ends[np.searchsorted(ends, low, "right") : np.searchsorted(ends, high + WINDOW)].tolist():
+            at[max(end - WINDOW + 1 - low, 0) : max(end - low, 0)] = -1  # windows that reach over a text's end
+        new = np.empty(high - low, bool)
+        new[0], new[1:], last = at[0] != last or low == 0, at[1:] != at[:-1], at[-1]
+        found = np.flatnonzero(new)
+        firsts.append(found + low)
+        places.append(at[found])
+        grams.append(h[found] >> np.uint64(6))
+    if not firsts:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none
-    raw = text.tobytes() + bytes(24)
-    words = np.empty(n + 8, np.uint64)
-    for k in range(8):
-        words[k::8] = np.frombuffer(raw, "<u8", len(range(k, n + 8, 8)), k)
-    h = words[:n] * np.uint64(_BASE) + words[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    # the low six bits count the places from the window's start, so that the leftmost of equal grams is least
-    least = (h ^ (h >> np.uint64(29))) & ~np.uint64(63)
-    width = 1
-    while 2 * width <= STARTS:
-        least = np.minimum(least[:-width], least[width:] + np.uint64(width))
-        width *= 2
-    if width < STARTS:
-        least = np.minimum(least[: width - STARTS], least[STARTS - width :] + np.uint64(STARTS - width))
-    place = np.arange(len(least))
-    doc = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))[: len(least)]
-    at = place + (least & np.uint64(63)).astype(np.int64)
-    at[place + WINDOW > ends[doc]] = -1
-    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
-    count = np.diff(np.append(first, len(at)))
-    ok = at[first] >= 0
-    first, count = first[ok], count[ok]
-    return first, count, least[first] >> np.uint64(6), doc[first]
+    first, place = np.concatenate(firsts), np.concatenate(places)
+    ok = place >= 0
+    count = np.append(first[1:], windows) - first
+    first, count, gram = first[ok], count[ok], np.concatenate(grams)[ok]
+    return first, count, gram * np.uint64(0xD6E8FEB86659FD93), np.searchsorted(ends, first, "right")
 
 
 def shard_of(anchor: np.ndarray, shards: int) -> np.ndarray:
-    return ((anchor * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(shards)
+    """Equal ranges of anchors, so that their order is that of the shards too."""
+    return (anchor >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+
+
+@functools.lru_cache(maxsize=1)
+def _powers(bits: int) -> np.ndarray:
+    powers = np.full((1 << bits) + 1, np.uint64(_BASE))
+    powers[0] = 1
+    return np.multiply.accumulate(powers)
 
 
 def string_hashes(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """64-bit hashes of text[start : start + size]."""
-    powers = np.full(len(text) + 1, np.uint64(_BASE))
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
+    powers = _powers(max(len(text), 2 * BLOCK_BYTES).bit_length())[: len(text) + 1]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[text] * powers[:-1], dtype=np.uint64)])
     # brought to the same power, that of the text's end
     h = (sums[start + size] - sums[start]) * powers[len(text) - start]
@@ -166,18 +195,17 @@ class Anchors:
 
 
 def anchors(block: Block, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    order = np.lexsort((block.ids[block.doc], block.anchor))
-    a, d = block.anchor[order], block.ids[block.doc][order]
-    begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, int)
-    stop = np.append(begin[1:], len(a))
-    a, several = a[begin], d[begin] != d[stop - 1]
-    shard = shard_of(a, shards)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        if cuts[s] < cuts[s + 1]:
-            some = order[cuts[s] : cuts[s + 1]]
-            yield s, a[some], several[some].astype(np.uint8)
+    order = np.argsort(block.anchor)
+    a, d = block.anchor[order], block.ids[block.doc[order]]
+    begin, _ = stretches(a)
+    if not len(begin):
+        return
+    several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
+    a = a[begin]
+    cuts = np.searchsorted(shard_of(a, shards), np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        some = slice(cuts[s], cuts[s + 1])
+        yield s, a[some], several[some].astype(np.uint8)
 
 
 def shared_anchors(group: pd.DataFrame) -> pd.DataFrame:
@@ -200,14 +228,17 @@ class Distinct:
     def __init__(self, block: Block, told: list[tuple[int, bytes]], shards: int):
         told_by = dict(told)
         shared = [a[np.unpackbits(np.frombuffer(told_by[s], np.uint8), count=len(a)).astype(bool)] for s, a, _ in anchors(block, shards) if s in told_by]
-        good = np.isin(block.anchor, np.concatenate(shared)) if shared else np.zeros(len(block.anchor), bool)
+        if shared:
+            shared = np.concatenate(shared)  # in order, as shards are
+            good = shared[np.minimum(np.searchsorted(shared, block.anchor), len(shared) - 1)] == block.anchor
+        else:
+            good = np.zeros(len(block.anchor), bool)
         self.first, self.count, self.anchor, self.ids = block.first[good], block.count[good], block.anchor[good], block.ids[block.doc[good]]
         size = self.count + WINDOW - 1
         h = string_hashes(block.text, self.first, size) if len(size) else np.zeros(0, np.uint64)
-        # by shard, then content; equal segments follow each other by document
-        self.order = np.lexsort((self.ids, h, shard_of(self.anchor, shards)))
-        h = h[self.order]
-        self.begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+        # by anchor, thus by shard, then content; equal segments follow each other by document
+        self.order = np.lexsort((self.ids, h, self.anchor))
+        self.begin, self.stop = stretches(h[self.order])
         one = self.order[self.begin]
         self.shard = shard_of(self.anchor[one], shards)
         self.size, self.least, self.key, self.start = size[one], self.ids[one], self.anchor[one], self.first[one]
@@ -217,8 +248,7 @@ class Distinct:
 
     def places(self, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each of these segments, all that are equal to it: which of the asked it is, and its place among all."""
-        stop = np.append(self.begin[1:], len(self.order))
-        n = (stop - self.begin)[segments]
+        n = (self.stop - self.begin)[segments]
         which = np.repeat(np.arange(len(segments)), n)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return which, self.order[self.begin[segments][which] + step]
@@ -268,15 +298,13 @@ def repeats(text: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.n
     good = valid[order]
     rows, group = order[good], group[good]
     ids = least[segment[rows]]
-    cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, int)
-    low = np.minimum.reduceat(ids, cuts) if len(cuts) else ids
+    cuts, stop = stretches(group)
     smallest = np.zeros(len(symbols), np.int64)
-    smallest[rows] = np.repeat(low, np.diff(np.append(cuts, len(rows))))
+    smallest[rows] = np.repeat(np.minimum.reduceat(ids, cuts), stop - cuts)
     at = np.flatnonzero(valid)
     seg, off, low = segment[at], offset[at], smallest[at]
-    new = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (low[1:] != low[:-1])])) if len(at) else np.zeros(0, int)
-    last = np.append(new[1:], len(at)) - 1
-    return seg[new], off[new], off[last], low[new]
+    new, stop = stretches(seg, low)
+    return seg[new], off[new], off[stop - 1], low[new]
 
 
 def sort_shard(group: pd.DataFrame) -> pd.DataFrame:
@@ -288,23 +316,26 @@ def sort_shard(group: pd.DataFrame) -> pd.DataFrame:
     size = size.astype(np.int64)
     start = np.cumsum(size) - size
     h = string_hashes(text, start, size)
-    ways = 1 + len(text) // SORT_BYTES
-    part = (key * np.uint64(0xA24BAED4963EE407)) >> np.uint64(40)
-    found = []
+    order = np.lexsort((least, h, key))
+    begin, stop = stretches(key[order], h[order])
+    one = order[begin]  # each distinct segment, with the smallest id that has it
+    # an anchor with one segment: its windows are in no other, and there is nothing to sort
+    of, upto = stretches(key[one])
+    alone = np.repeat(upto - of == 1, upto - of)
+    found = [(np.flatnonzero(alone), np.zeros(alone.sum(), np.int64), size[one[alone]] - WINDOW, least[one[alone]])]
+    ways = 1 + int(size[one[~alone]].sum()) // SORT_BYTES
+    part = ((key[one] * np.uint64(0xA24BAED4963EE407)) >> np.uint64(40)) % np.uint64(ways)
     for k in range(ways):
-        mine = np.flatnonzero(part % np.uint64(ways) == k)
-        if not len(mine):
-            continue
-        mine = mine[np.lexsort((least[mine], h[mine]))]
-        begin = np.flatnonzero(np.concatenate([[True], h[mine][1:] != h[mine][:-1]]))
-        one = mine[begin]
-        seg, low, high, smallest = repeats(strings(text, start[one], size[one]), size[one], least[one])
-        # every segment equal to a distinct one hears the same
-        n = np.diff(np.append(begin, len(mine)))
-        which = np.repeat(np.arange(len(seg)), n[seg])
-        step = np.arange(len(which)) - np.repeat(np.cumsum(n[seg]) - n[seg], n[seg])
-        found.append((mine[begin[seg][which] + step], low[which], high[which], smallest[which]))
+        mine = np.flatnonzero(~alone & (part == k))
+        if len(mine):
+            seg, low, high, smallest = repeats(strings(text, start[one[mine]], size[one[mine]]), size[one[mine]], least[one[mine]])
+            found.append((mine[seg], low, high, smallest))
     seg, low, high, smallest = (np.concatenate([f[k] for f in found]) for k in range(4))
+    # every segment equal to a distinct one hears the same
+    n = stop - begin
+    which = np.repeat(np.arange(len(seg)), n[seg])
+    step = np.arange(len(which)) - np.repeat(np.cumsum(n[seg]) - n[seg], n[seg])
+    seg, low, high, smallest = order[begin[seg][which] + step], low[which], high[which], smallest[which]
     order = np.argsort(block[seg], kind="stable")
     cuts = np.searchsorted(block[seg][order], np.arange(len(parts) + 1))
     rows = []
@@ -365,7 +396,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     blocks = written(rows.mapInArrow(WriteBlocks(new_path(spark, "blocks")), BLOCKS), "block-list")
     total, count = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
     shards = 1 + total // SHARD_BYTES

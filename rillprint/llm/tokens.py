@@ -15,7 +15,7 @@ import os
 import numpy as np
 
 #: Pieces kept per worker; further pieces are encoded again when they recur.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 700_000
 #: Pieces encoded by one call of the library.
 LEARN_PIECES = 20_000
 
