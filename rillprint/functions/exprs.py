@@ -1,7 +1,7 @@
 """Hash algebra as native column expressions, for primes up to 2**61 - 1.
 
-Products of two numbers below 2**61 fit DECIMAL(38); Horner steps over four bytes stay within BIGINT where the base's
-fourth power does, and take one byte at a time in decimals otherwise.
+Products of two numbers below 2**61 fit DECIMAL(38); Horner steps over as many bytes (four at most) as keep the base's power
+below 2**30 stay within BIGINT, and take one byte at a time in decimals where a single base does not.
 """
 
 from __future__ import annotations
@@ -89,16 +89,19 @@ def _small_mul(h: Column, m: int, prime: int) -> Column:
 
 def poly_hash(data: Column, base: int = 131, prime: int = M61) -> Column:
     """H of a binary column; null of null, 0 of the empty string."""
-    n = F.octet_length(data)
-    if prime == M61 and base**4 < 1 << 30:
+    size = max((g for g in range(1, 5) if base**g < 1 << 30), default=0)  # bytes of a step within BIGINT
+    if prime == M61 and size:
         digits = F.hex(data)
-        first = n % 4  # bytes before the groups of four
+        n = F.octet_length(data)
+        first = n % size  # bytes before the groups
         byte = lambda v, k: F.shiftright(v, 8 * k).bitwiseAND(F.lit(255)) + 1
         group = lambda v, size: sum((byte(v, size - 1 - k) * F.lit(base ** (size - 1 - k)).cast("long") for k in range(size)), F.lit(0).cast("long"))
-        number = lambda at, size: F.conv(F.substring(digits, at * 2 + 1, F.lit(2 * size) if isinstance(size, int) else size * 2), 16, 10).cast("long")
-        head = F.when(first == 1, group(number(F.lit(0), 1), 1)).when(first == 2, group(number(F.lit(0), 2), 2)).when(first == 3, group(number(F.lit(0), 3), 3)).otherwise(F.lit(0).cast("long"))
-        groups = F.when(n >= 4, F.transform(F.sequence(F.lit(0), F.floor(n / 4).cast("int") - 1), lambda i: number(first + i * 4, 4))).otherwise(F.array().cast("array<bigint>"))
-        step = lambda h, v: (_small_mul(h, base**4, prime) + group(v, 4)) % F.lit(prime)
+        number = lambda at, size: F.conv(F.substring(digits, at * 2 + 1, F.lit(2 * size)), 16, 10).cast("long")
+        head = F.lit(0).cast("long")
+        for k in range(1, size):
+            head = F.when(first == k, group(number(F.lit(0), k), k)).otherwise(head)
+        groups = F.when(n >= size, F.transform(F.sequence(F.lit(0), F.floor(n / size).cast("int") - 1), lambda i: number(first + i * size, size))).otherwise(F.array().cast("array<bigint>"))
+        step = lambda h, v: (_small_mul(h, base**size, prime) + group(v, size)) % F.lit(prime)
         out = F.aggregate(groups, head, step)
     else:
         step = lambda h, c: mod_add(mod_mul(h, base, prime), c.cast("long") + 1, prime)

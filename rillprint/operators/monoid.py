@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..spec import DEFAULT_BASE, M61
 
+BLOCK = 4096  # orders of a key that are joined in one window
+
 
 def _after(key: list[str], order: str, length: Column) -> Column:
     """Bytes of the pieces after each."""
@@ -27,8 +29,20 @@ def starts(df: DataFrame, key: list[str], order: str, length: str = "length", to
     return df.withColumn(to, (F.sum(length).over(frame) - F.col(length)).cast("long"))
 
 
-def ordered_concat(df: DataFrame, key: list[str], order: str, length: str = "length", h: str = "h", base: int = DEFAULT_BASE, prime: int = M61) -> DataFrame:
-    """key, length and h of each key's pieces one after another; no pieces give no row, empty ones count for nothing."""
+def ordered_concat(df: DataFrame, key: list[str], order: str, length: str = "length", h: str = "h", base: int = DEFAULT_BASE, prime: int = M61, block: int = BLOCK) -> DataFrame:
+    """key, length and h of each key's pieces one after another; no pieces give no row, empty ones count for nothing.
+
+    Where the order column is a number, pieces are first joined in blocks of ``block`` orders: a key with most of the pieces is dealt
+    over many tasks, and its own window holds a row for each block.
+    """
+    if dict(df.dtypes)[order] in ("tinyint", "smallint", "int", "bigint") and block:
+        blocks = df.withColumn("__block", F.floor(F.col(order) / block))
+        df = _concat(blocks, [*key, "__block"], order, length, h, base, prime)
+        order, length, h = "__block", "length", "h"
+    return _concat(df, key, order, length, h, base, prime)
+
+
+def _concat(df: DataFrame, key: list[str], order: str, length: str, h: str, base: int, prime: int) -> DataFrame:
     term = E.mod_mul(F.col(h), E.power(base, F.col("__after"), prime), prime)
     terms = df.withColumn("__after", _after(key, order, F.col(length))).select(*key, F.col(length).alias("__n"), term.alias("__t"))
     total = E.mod_reduce(F.sum(F.col("__t").cast("decimal(28,0)")), prime)
