@@ -74,11 +74,15 @@ def phi(q: Column | int, alpha: Column | int, prime: int = M61) -> Column:
     return _once(F.struct(_c(q).alias("q"), _c(alpha).alias("a")), of)
 
 
+def _number(data: Column, at: Column, size: int) -> Column:
+    """The number that ``size`` bytes from ``at`` make; a slice of a binary costs its own length only."""
+    return F.conv(F.hex(F.substring(data, at + 1, F.lit(size))), 16, 10).cast("long")
+
+
 def byte_values(data: Column) -> Column:
     """Bytes of a binary as an array of ints, [] where it is empty."""
-    digits = F.hex(data)
-    one = lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return F.when(F.octet_length(data) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.octet_length(data) - 1), one))
+    values = lambda d: F.transform(F.sequence(F.lit(0), F.octet_length(d) - 1), lambda i: _number(d, i, 1).cast("int"))
+    return F.when(F.octet_length(data) == 0, F.array().cast("array<int>")).otherwise(_once(data, values))
 
 
 def _small_mul(h: Column, m: int, prime: int) -> Column:
@@ -91,18 +95,21 @@ def poly_hash(data: Column, base: int = 131, prime: int = M61) -> Column:
     """H of a binary column; null of null, 0 of the empty string."""
     size = max((g for g in range(1, 5) if base**g < 1 << 30), default=0)  # bytes of a step within BIGINT
     if prime == M61 and size:
-        digits = F.hex(data)
-        n = F.octet_length(data)
-        first = n % size  # bytes before the groups
         byte = lambda v, k: F.shiftright(v, 8 * k).bitwiseAND(F.lit(255)) + 1
         group = lambda v, size: sum((byte(v, size - 1 - k) * F.lit(base ** (size - 1 - k)).cast("long") for k in range(size)), F.lit(0).cast("long"))
-        number = lambda at, size: F.conv(F.substring(digits, at * 2 + 1, F.lit(2 * size)), 16, 10).cast("long")
-        head = F.lit(0).cast("long")
-        for k in range(1, size):
-            head = F.when(first == k, group(number(F.lit(0), k), k)).otherwise(head)
-        groups = F.when(n >= size, F.transform(F.sequence(F.lit(0), F.floor(n / size).cast("int") - 1), lambda i: number(first + i * size, size))).otherwise(F.array().cast("array<bigint>"))
         step = lambda h, v: (_small_mul(h, base**size, prime) + group(v, size)) % F.lit(prime)
-        out = F.aggregate(groups, head, step)
+
+        def of(d: Column) -> Column:
+            n = F.octet_length(d)
+            first = n % size  # bytes before the groups
+            head = F.lit(0).cast("long")
+            for k in range(1, size):
+                head = F.when(first == k, group(_number(d, F.lit(0), k), k)).otherwise(head)
+            groups = F.when(n >= size, F.transform(F.sequence(F.lit(0), F.floor(n / size).cast("int") - 1), lambda i: _number(d, first + i * size, size))).otherwise(F.array().cast("array<bigint>"))
+            return F.aggregate(groups, head, step)
+
+        # bound once: inside a lambda an expression over the column would be worked out for every group
+        out = _once(data, of)
     else:
         step = lambda h, c: mod_add(mod_mul(h, base, prime), c.cast("long") + 1, prime)
         out = F.aggregate(byte_values(data), F.lit(0).cast("long"), step)
