@@ -3,8 +3,8 @@
 A byte-level BPE file pre-splits text so that a literal space followed by a non-space always
 begins a new pre-token, and so does the first line break after a non-space.  Texts are therefore cut
 at those places, every distinct piece is encoded by the library once per worker, and the ids
-are joined.  Texts with any other white space pattern (runs of spaces, tabs, three line breaks)
-go to the library whole, so ids always equal ``Tokenizer.encode(text, add_special_tokens=False)``.
+are joined.  Texts with any other white space pattern (runs of spaces, tabs, three line breaks, two before
+a space or the end) or an added token go to the library whole, so ids always equal ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -35,15 +35,15 @@ class PieceEncoder:
         self.limit, self.known = cache_pieces, {}
         self.marks = {}
         rules = self._rules(path)
-        self.cut = rules is not None
+        self.cut, self.added = rules is not None, rules or []
         if self.cut:
             self.marks = {m: self._whole(m) for m in (",", ".", "\n")}
             self.line = int(np.frombuffer(self.marks["\n"], self.type)[0])
             self.cut = len(self.marks["\n"]) == self.type.itemsize
 
     @staticmethod
-    def _rules(path: str):
-        """Pieces are only cut for the byte-level pre-tokenizer without normalizer or prefix space."""
+    def _rules(path: str) -> list[str] | None:
+        """The added tokens.  Pieces are only cut for the byte-level pre-tokenizer without normalizer or prefix space."""
         import json
 
         with open(path, encoding="utf-8") as f:
@@ -53,7 +53,7 @@ class PieceEncoder:
         added = spec.get("added_tokens") or []
         # an added token that eats white space or holds any would reach over a cut
         bare = all(not a["lstrip"] and not a["rstrip"] and not any(c.isspace() for c in a["content"]) for a in added)
-        return True if plain and bare and not spec.get("normalizer") and not spec.get("post_processor") else None
+        return [a["content"] for a in added] if plain and bare and not spec.get("normalizer") and not spec.get("post_processor") else None
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
@@ -63,15 +63,16 @@ class PieceEncoder:
 
         A piece that begins with a line break or the text has no space before it; all others have one.
         """
-        if not self.cut or "\n\n\n" in text:
+        # an added token ends the text before it, as two line breaks at an end are one pre-token
+        if not self.cut or "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n") or any(a in text for a in self.added):
             return None
         spaced = text.replace("\n", " \n")
         if "  " in spaced or spaced.endswith(" "):
             return None
-        pieces = spaced.split(" ")
-        words = len(pieces) - pieces.count("\n") - (not pieces[0])
-        if words != len(text.split()):
+        # no white space but spaces and line breaks
+        if len(text) != text.count(" ") + text.count("\n") + sum(map(len, text.split())):
             return None
+        pieces = spaced.split(" ")
         if pieces[0]:
             pieces[0] = " " + pieces[0]  # the key of a piece without a space before it
         else:

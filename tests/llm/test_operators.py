@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import math
 import random
 import re
@@ -38,6 +39,13 @@ def test_pieces_equal_whole_texts():
     assert [list(g) for g in tokens.encoder(common.vocabulary()).encode(odd)] == whole_ids(odd)
 
 
+def test_pieces_equal_whole_texts_for_all_short_white_space():
+    odd = ["a\n\n", "a\n\n b", "\n\n", "a\n\n<|endoftext|>b", "a \tb", "a\t b", "a\n\n\tb"]
+    odd += ["".join(c) for n in range(1, 6) for c in itertools.product(["a", " ", "\n", "\t", "\xa0", "<|endoftext|>"], repeat=n)]
+    got = tokens.PieceEncoder(common.vocabulary()).encode(odd)
+    assert [list(g) for g in got] == whole_ids(odd)
+
+
 def test_token_files_round_trip(odd_docs, no_docs):
     got = rows(frames.write_and_read(odd_docs), "doc_id", "start", "n_tokens", "ids_crc32")
     docs = rows(odd_docs, "doc_id", "text")
