@@ -6,6 +6,9 @@ A byte goes if a string of WINDOW bytes that covers it also starts in a document
 2. Every window is given an anchor: the GRAM bytes in it with the least hash (the leftmost of equals).  Equal windows
    have equal anchors, so only windows whose anchor is found in several documents can repeat.  Blocks say which anchors
    they have, once each, and hear which of them are shared: a very frequent one costs an entry for each block.
+   Segments of an anchor with too many of them to be sorted at once are split into their windows, each of which is
+   its own anchor, and blocks say and hear once more: an edge of boilerplate is dealt over all shards, and
+   only its windows that several documents have are sent.
 3. The stretch of windows that share an anchor is a segment.  Blocks send their distinct segments with shared anchors, each
    with the smallest doc_id that has it, to the shard of the anchor; so all equal windows meet in one shard.
 4. A shard sorts its segments' suffixes by external induced sorting (suffix.py).  Neighbours with WINDOW
@@ -39,7 +42,7 @@ STARTS = WINDOW - GRAM + 1  # places of a gram in a window
 BLOCK_BYTES = 4 << 20  # of text; a longer text has a block of its own
 SHARD_BYTES = 12 << 20  # of text for each shard on the whole
 STEP = 1 << 16  # windows looked at together, in the processor's cache
-SORT_BYTES = 6 << 20  # of segments that are sorted at once, but for those of one anchor
+SORT_BYTES = 6 << 20  # of segments that are sorted at once, about; those of one anchor are no more
 
 BLOCKS = "block long, path string, bytes long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -102,9 +105,9 @@ class WriteBlocks:
 
 
 class Block:
-    """A block's texts and its segments: first window, windows, anchor and document of each."""
+    """A block's texts and its segments: first window, windows, anchor and document of each; those of hot anchors split."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, hot: np.ndarray):
         fs, name = pa.fs.FileSystem.from_uri(path)
         with fs.open_input_file(name) as f:
             self.ids, nulls, sizes, self.text = unpacked(f.read(), "<i8", "u1", "<i8", "u1")
@@ -113,6 +116,27 @@ class Block:
         if self.nulls.any():  # no id is smaller than none, and none is smaller than an id
             keep = ~self.nulls[self.doc]
             self.first, self.count, self.anchor, self.doc = (x[keep] for x in (self.first, self.count, self.anchor, self.doc))
+        if len(hot) and len(self.anchor):
+            self.split(hot[np.minimum(np.searchsorted(hot, self.anchor), len(hot) - 1)] == self.anchor)
+
+    def split(self, some: np.ndarray) -> None:
+        """Each window of some segments to a segment of its own, with a hash of the window for its anchor."""
+        n = np.where(some, self.count, 1)
+        which = np.repeat(np.arange(len(n)), n)
+        some, self.doc = some[which], self.doc[which]
+        self.first = self.first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        self.count, self.anchor = np.where(some, 1, self.count[which]), self.anchor[which]
+        self.anchor[some] = window_hashes(self.text, self.first[some])
+
+
+def window_hashes(text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the windows, by other means than string_hashes()."""
+    words = np.ndarray(len(text) - 7, "<u8", np.ascontiguousarray(text), strides=(1,))
+    h = np.zeros(len(first), np.uint64)
+    for k in [*range(0, WINDOW - 7, 8), WINDOW - 8]:
+        h = (h ^ words[first + k]) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h * np.uint64(_BASE)
 
 
 def segments(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,45 +205,53 @@ def string_hashes(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
 
 
 class Anchors:
-    """Blocks to (shard, block, blob): the sorted anchors of a shard that a block has, and which several of its documents have."""
+    """Blocks to (shard, block, blob): the sorted anchors of a shard that a block has, which several of its documents have, and segments of each."""
 
-    def __init__(self, shards: int):
-        self.shards = shards
+    def __init__(self, shards: int, hot: np.ndarray):
+        self.shards, self.hot = shards, hot
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, path in zip(batch["block"].to_pylist(), batch["path"].to_pylist()):
-                own = anchors(Block(path), self.shards)
-                rows = [(s, number, packed(np.diff(a, prepend=np.uint64(0)), several)) for s, a, several in own]
+                own = anchors(Block(path, self.hot), self.shards)
+                rows = [(s, number, packed(np.diff(a, prepend=np.uint64(0)), several, n)) for s, a, several, n in own]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "block", "blob"])
 
 
-def anchors(block: Block, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def anchors(block: Block, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     order = np.argsort(block.anchor)
     a, d = block.anchor[order], block.ids[block.doc[order]]
-    begin, _ = stretches(a)
+    begin, stop = stretches(a)
     if not len(begin):
         return
+    times = (stop - begin).astype("<u4")
     several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
     a = a[begin]
     cuts = np.searchsorted(shard_of(a, shards), np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(cuts)).tolist():
         some = slice(cuts[s], cuts[s + 1])
-        yield s, a[some], several[some].astype(np.uint8)
+        yield s, a[some], several[some].astype(np.uint8), times[some]
+
 
+def shared_anchors(group: pd.DataFrame, most: int) -> pd.DataFrame:
+    """All blocks' anchors of one shard to a row of bits for each block: which are in several documents.
 
-def shared_anchors(group: pd.DataFrame) -> pd.DataFrame:
-    """All blocks' anchors of one shard to a row of bits for each block: which are in several documents."""
-    parts = [unpacked(b, "<u8", "u1") for b in group["blob"]]
-    own = [np.cumsum(a, dtype=np.uint64) for a, _ in parts]
+    The first row also has those of them with over ``most`` segments, and the number of these.
+    """
+    parts = [unpacked(b, "<u8", "u1", "<u4") for b in group["blob"]]
+    own = [np.cumsum(a, dtype=np.uint64) for a, *_ in parts]
     flat = np.concatenate(own)
     found, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
     shared = times > 1
-    shared[inverse[np.concatenate([s for _, s in parts]).astype(bool)]] = True
+    shared[inverse[np.concatenate([s for _, s, _ in parts]).astype(bool)]] = True
     ends = np.cumsum([0, *map(len, own)])
     bits = shared[inverse]
-    rows = [(s, b, np.packbits(bits[i:j]).tobytes()) for s, b, i, j in zip(group["shard"], group["block"], ends, ends[1:]) if bits[i:j].any()]
-    return pd.DataFrame(rows, columns=["shard", "block", "blob"])
+    rows = [(s, b, np.packbits(bits[i:j]).tobytes(), None, 0) for s, b, i, j in zip(group["shard"], group["block"], ends, ends[1:]) if bits[i:j].any()]
+    all_of = np.bincount(inverse, np.concatenate([n for *_, n in parts]), len(found))
+    hot = shared & (all_of > most)
+    if hot.any():
+        rows[0] = (*rows[0][:3], found[hot].tobytes(), int(all_of[hot].sum()))
+    return pd.DataFrame(rows, columns=["shard", "block", "blob", "hot", "hot_segments"])
 
 
 class Distinct:
@@ -227,7 +259,7 @@ class Distinct:
 
     def __init__(self, block: Block, told: list[tuple[int, bytes]], shards: int):
         told_by = dict(told)
-        shared = [a[np.unpackbits(np.frombuffer(told_by[s], np.uint8), count=len(a)).astype(bool)] for s, a, _ in anchors(block, shards) if s in told_by]
+        shared = [a[np.unpackbits(np.frombuffer(told_by[s], np.uint8), count=len(a)).astype(bool)] for s, a, *_ in anchors(block, shards) if s in told_by]
         if shared:
             shared = np.concatenate(shared)  # in order, as shards are
             good = shared[np.minimum(np.searchsorted(shared, block.anchor), len(shared) - 1)] == block.anchor
@@ -263,13 +295,13 @@ def strings(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 class Send:
     """Blocks with what they heard of their anchors to (shard, block, blob) of segments."""
 
-    def __init__(self, shards: int):
-        self.shards = shards
+    def __init__(self, shards: int, hot: np.ndarray):
+        self.shards, self.hot = shards, hot
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, path, told in zip(batch["block"].to_pylist(), batch["path"].to_pylist(), batch["told"].to_pylist()):
-                block = Block(path)
+                block = Block(path, self.hot)
                 own = Distinct(block, [(t["shard"], t["blob"]) for t in told or ()], self.shards)
                 rows = []
                 for s in np.unique(own.shard).tolist():
@@ -348,13 +380,13 @@ def sort_shard(group: pd.DataFrame) -> pd.DataFrame:
 class Finish:
     """Blocks with what they heard of their segments to RESULT, and the texts left where they are asked for."""
 
-    def __init__(self, shards: int, texts: bool = False):
-        self.shards, self.texts = shards, texts
+    def __init__(self, shards: int, hot: np.ndarray, texts: bool = False):
+        self.shards, self.hot, self.texts = shards, hot, texts
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, told, heard in zip(batch["path"].to_pylist(), batch["told"].to_pylist(), batch["heard"].to_pylist()):
-                block = Block(path)
+                block = Block(path, self.hot)
                 change = np.zeros(len(block.text) + 1, np.int64)
                 if heard:
                     own = Distinct(block, [(t["shard"], t["blob"]) for t in told or ()], self.shards)
@@ -403,11 +435,22 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     tasks = max(1, min(count, max(4 * spark.sparkContext.defaultParallelism, count // 4)))
     table = "shard long, block long, blob binary"
     spread = blocks.repartition(tasks, "block")  # said outright, else so few bytes of paths go to one task
-    said = spread.mapInArrow(Anchors(shards), table)
-    shared = written(said.groupBy("shard").applyInPandas(shared_anchors, table), "shared-anchors")
+    most = SORT_BYTES // (WINDOW + STARTS - 1)
+
+    def say(hot: np.ndarray) -> DataFrame:
+        said = spread.mapInArrow(Anchors(shards, hot), table)
+        return written(said.groupBy("shard").applyInPandas(lambda group: shared_anchors(group, most), table + ", hot binary, hot_segments long"), "shared-anchors")
+
+    shared = say(np.zeros(0, np.uint64))
+    found = shared.where("hot IS NOT NULL").select("hot", "hot_segments").collect()  # 8 bytes for every SORT_BYTES of segments at most
+    hot = np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in found), np.uint64))
+    if len(hot):
+        # a segment has STARTS / 2 windows on average, and a text one segment for as many bytes
+        shards = 1 + (total + sum(r[1] for r in found) * (STARTS // 2) ** 2) // SHARD_BYTES
+        shared = say(hot)
     gather = lambda df, name: df.groupBy("block").agg(F.collect_list(F.struct("shard", "blob")).alias(name))  # a row for each shard at most
     told = blocks.join(gather(shared, "told"), "block", "left").repartition(tasks, "block")
-    sent = told.mapInArrow(Send(shards), table)
+    sent = told.mapInArrow(Send(shards, hot), table)
     heard = written(sent.groupBy("shard").applyInPandas(sort_shard, table), "repeats")
     ready = blocks.join(gather(shared, "told"), "block", "left").join(gather(heard, "heard"), "block", "left").repartition(tasks, "block")
-    return ready.mapInArrow(Finish(shards, texts), RESULT + (", kept binary" if texts else ""))
+    return ready.mapInArrow(Finish(shards, hot, texts), RESULT + (", kept binary" if texts else ""))
