@@ -6,6 +6,11 @@ surrogate of x is the string after x in the order that the permutation gives, wa
 for the type (card check digits stay right or wrong).  That is a bijection without fixed points: equal entities
 get equal surrogates in all documents (coreference), different ones never collide (distinctness), and no
 document has to know of another; collisions() checks that over a corpus.
+
+Names are found after a title or as a given name of the lists with a surname; each word of a name that was found is
+replaced wherever else it stands in the document.  Not detected: names with neither a title nor a listed given name,
+names in other than Latin, Greek and Cyrillic capitals; phone numbers of under 7 digits, and bare ones that begin neither
+with + nor 0 and have no North American form; postal addresses, dates of birth, account, passport and tax numbers.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ ROUNDS = 6
 # Titles by gender and common given names by script and gender.
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "г-жа"]
 MALE_TITLES = ["Mr", "Herr", "Señor", "Monsieur", "г-н"]
+NEUTRAL_TITLES = ["Dr", "Prof", "Professor"]
 GIVEN_NAMES = [
     ["Anna", "Clara", "Elena", "Emma", "Julia", "Laura", "Lucia", "Maria", "Martha", "Nora", "Olivia", "Sofia"],
     ["Alice", "Charlotte", "Claire", "Elizabeth", "Emily", "Helen", "Irene", "Jane", "Louise", "Sarah", "Susan", "Zoe"],
@@ -41,17 +47,24 @@ _CLASS = {c: (k, i) for k, letters in enumerate(CLASSES) for i, c in enumerate(l
 _LIST = {name: names for names in GIVEN_NAMES for name in names}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_TITLE = "|".join([*FEMALE_TITLES, *MALE_TITLES])
+_TITLE = "|".join([*FEMALE_TITLES, *MALE_TITLES, *NEUTRAL_TITLES])
+_GIVEN = "|".join(_LIST)
+_CAP = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][^\W\d_]+"
+#: Country codes of one or two digits; all others have three.
+_CODE = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 ENTITY = re.compile(
     r"(?P<email>(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     rf"|(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d))"
-    r"|(?P<card>(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))"
+    r"|(?P<card>(?<!\w)(?<!\d[.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})(?:[ .-]?\d{2,4}(?!\d)){2,3}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]\d{2,4}(?!\d)){2,5}(?!\w))"
-    rf"|(?P<name>(?<!\w)(?:{_TITLE})\.? [^\W\d_a-zа-я][^\W\d_]+(?:[ -][^\W\d_a-zа-я][^\W\d_]+)?)"
+    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})(?:[ .-]?\d{2,4}(?!\d)){2,3}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]\d{2,4}(?!\d)){2,5}(?!\w)"
+    r"|(?<![\w.])\+(?=[0-9](?:[ .-]?[0-9]){6,14}(?!\d))[0-9]+(?:[ .-][0-9]{2,8}(?!\d)){0,5}(?!\w)"
+    r"|(?<![\w.+])(?<!\d-)(?:0(?=(?:[ /-]?[0-9]){7,14}(?!\d))[0-9]{1,4}[ /-][0-9]{3,8}(?:[ -][0-9]{2,6})?|0[0-9]{9,10}|1?[2-9][0-9][0-9][2-9][0-9]{6}|(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{7})(?![\w-]|\.\d))"
+    rf"|(?P<name>(?<!\w)(?:(?:(?:{_TITLE})\.? )+[^\W\d_a-zа-я][^\W\d_]+(?:[ -][^\W\d_a-zа-я][^\W\d_]+)?|(?:{_GIVEN})(?:-{_CAP})? {_CAP}(?:-{_CAP})?))"
 )
 #: Texts without any of these have no entity.
-HINT = re.compile(rf"\d|@|(?:{_TITLE})\b")
+HINT = re.compile(rf"\d|@|(?:{_TITLE}|{_GIVEN})\b")
+_TITLES = re.compile(rf"(?:(?:{_TITLE})\.? )*")
 
 
 def luhn(digits: list[int]) -> bool:
@@ -136,8 +149,15 @@ class Surrogates:
         return self._letters("card", text, {0}, lambda new, old: luhn([first, *new]) == right)
 
     def _phone(self, text: str) -> str:
-        code = re.match(r"\+\d{1,3}(?=\D)", text)
-        return self._letters("phone", text, set(range(code.end())) if code else set())
+        if text[0] == "+":
+            code = re.match(r"\+\d{1,3}(?=\D)", text) or _CODE.match(text)
+            return self._letters("phone", text, set(range(code.end())))
+        if text.isdigit() and text[0] != "0":  # a North American number without separators
+            return self._letters("phone", text, {0} if len(text) == 11 else set(), lambda new, old: new[0] > 1 and new[3] > 1)
+        first = next(i for i, c in enumerate(text) if c.isdigit())
+        if text[first] == "0":
+            return self._letters("phone", text, {first})
+        return self._letters("phone", text, set(), lambda new, old: new[0] > 0)
 
     def _word(self, word: str) -> str:
         """A given name of the lists becomes another of its list; any other name keeps its last letter."""
@@ -149,8 +169,9 @@ class Surrogates:
         return out
 
     def _name(self, text: str) -> str:
-        title, _, name = text.partition(" ")
-        return title + " " + "".join(w if w in " -" else self._word(w) for w in re.split(r"([ -])", name))
+        title = _TITLES.match(text)[0]
+        name = text[len(title) :]
+        return title + "".join(w if w in " -" else self._word(w) for w in re.split(r"([ -])", name))
 
     def of(self, kind: str, text: str) -> str:
         if kind == "email":  # read alike in any case; the case of each letter stays
@@ -165,13 +186,22 @@ class Surrogates:
         """The text with surrogates, and (type, entity, surrogate) of each replacement."""
         if not HINT.search(text):
             return text, []
-        made = []
-
-        def put(m: re.Match) -> str:
-            made.append((m.lastgroup, m[0], new := self.of(m.lastgroup, m[0])))
-            return new
-
-        return ENTITY.sub(put, text), made
+        found = [(m.start(), m.end(), m.lastgroup) for m in ENTITY.finditer(text)]
+        words = {w for a, b, kind in found if kind == "name" for w in re.split("[ -]", text[a + len(_TITLES.match(text[a:b])[0]) : b])}
+        if words:
+            again = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(words))})(?!\w)")
+            at, all_of = 0, []
+            for a, b, kind in [*found, (len(text), len(text), "")]:
+                all_of += [(m.start(), m.end(), "name") for m in again.finditer(text, at, a)]
+                all_of.append((a, b, kind))
+                at = b
+            found = all_of[:-1]
+        out, made, at = [], [], 0
+        for a, b, kind in found:
+            made.append((kind, text[a:b], new := self.of(kind, text[a:b])))
+            out += [text[at:a], new]
+            at = b
+        return "".join([*out, text[at:]]), made
 
 
 class Replace:

@@ -490,6 +490,28 @@ def test_surrogates_in_documents(spark, odd_docs, no_docs):
     assert rows(pii.with_surrogates(no_docs), "*") == []
 
 
+def test_surrogates_find_common_forms():
+    own = pii.Surrogates()
+    for phone in ("+14155550123", "4155550123", "14155550123", "030 1234567", "0171/1234567", "+49 30 1234567", "(415) 5550123", "03012345678"):
+        out, made = own.replace(f"call {phone}, please")
+        assert [m[:2] for m in made] == [("phone", phone)] and phone not in out
+        assert re.sub(r"\d", "0", out) == re.sub(r"\d", "0", f"call {phone}, please") and own.replace(out)[1][0][0] == "phone"
+    assert own.of("phone", "+14155550123")[:2] == "+1" and own.of("phone", "+493012345678")[:3] == "+49" and own.of("phone", "030 1234567")[0] == "0"
+    nations = [f"{a}{b:02d}-555-01{c:02d}" for a in range(10) for b in range(0, 100, 9) for c in range(9)]
+    assert len({own.of("phone", n) for n in nations}) == len(nations)
+    for lead in ("No.", "-", "+"):
+        assert [m[0] for m in own.replace(f"x {lead}4539578763621486 y")[1]] == ["card"]
+    out, made = own.replace("Mrs Anna Keller came. Anna Keller spoke; Keller left, and Anna too. Kellers stay.")
+    assert [m[1] for m in made] == ["Mrs Anna Keller", "Anna Keller", "Keller", "Anna"] and not re.search(r"\b(Anna|Keller)\b", out)
+    given, last = out.split()[1:3]
+    assert out == f"Mrs {given} {last} came. {given} {last} spoke; {last} left, and {given} too. Kellers stay."
+    for name in ("Peter Braun", "Dr. Braun", "Prof. Dr. Peter Braun", "Frau Dr. Braun"):
+        out, made = own.replace(f"then {name} said")
+        assert [m[1] for m in made] == [name] and "Braun" not in out
+    for plain in ("01/2024", "2024-01-05", "1700000000", "0.4539578763621486", "Keller", "version 1.2.3"):
+        assert own.replace(plain)[1] == []
+
+
 # queries and pipeline
 
 
