@@ -357,13 +357,16 @@ def test_decontamination(spark, odd_docs, no_docs):
 # nearest neighbours
 
 
-@pytest.mark.parametrize("n,dim", [(5, 3), (2500, 8)])
-def test_nearest_is_exact(spark, n, dim):
+@pytest.mark.parametrize("n,dim,shard", [(5, 3, 16_384), (2500, 8, 16_384), (2500, 8, 150)])
+def test_nearest_is_exact(spark, monkeypatch, n, dim, shard):
+    monkeypatch.setattr(vptree, "SHARD_ROWS", shard)
+    monkeypatch.setattr(vptree, "GROWTH", 3)
     rng = np.random.default_rng(n)
     x = rng.normal(size=(n, dim)).astype(np.float32)
     x[n // 2 :: 7] = x[0]  # ties
     data = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(n, None), (n + 1, []), (n + 2, [0.0] * dim), (n + 3, [float("nan")] + [1.0] * (dim - 1)), (n + 4, [float("inf")] * dim), (n + 5, [1.0] * (dim + 1)), (None, [1.0] * dim)]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).repartition(3)
+    data += data[:3]  # rows that repeat count once
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).withColumn("v", F.lit(1)).repartition(3)
     got = {}
     for q, k, v, s in rows(vptree.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank"), "query_id", "rank", "vec_id", "score"):
         got.setdefault(q, []).append((k, v, s))
@@ -376,6 +379,52 @@ def test_nearest_is_exact(spark, n, dim):
     assert vptree.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ids_with_several_vectors_ask_once(spark):
+    data = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0]), (3, [-1.0, -1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = rows(vptree.nearest(df, F.col("vec_id") == 0, k=3).orderBy("rank"), "query_id", "rank", "vec_id", "score")
+    assert got == [(0, 1, 1, 3.0), (0, 2, 2, 2.0), (0, 3, 1, 0.0)]
+
+
+def clusters(n, dim, seed):
+    """Groups of 50 close vectors around far centres, all of length one."""
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.normal(size=(-(-n // 50), dim)), 50, axis=0)[:n] + 0.05 * rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_trees_skip_what_cannot_be_near():
+    x = clusters(8000, 64, 3)
+    ids, asked = np.arange(8000), np.arange(0, 8000, 40)
+    body = io.BytesIO()
+    vptree.Tree(ids, x).save(body)
+    tree = vptree.Tree.load(io.BytesIO(body.getvalue()))
+    found, share = {}, {}
+    for relax in (1.0, 0.5):
+        best = vptree.Best(asked, x[asked], 20)
+        best.search(tree, relax)
+        found[relax], share[relax] = best.of, best.scored.mean() / 8000
+    s = x[asked] @ x.T
+    s[np.arange(200), asked] = -9
+    assert all(set(a) == set(b) for a, b in zip(found[1.0].tolist(), np.argsort(-s, axis=1)[:, :20].tolist()))
+    assert share[1.0] < 0.3 and share[0.5] <= share[1.0]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(*(found[r].tolist() for r in found))]) >= 0.9
+
+
+def test_whole_shards_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 100)
+    x = clusters(2000, 16, 5)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    best, scored = vptree.search(df, F.col("vec_id") % 20 == 0)
+    assert sum(r[1] for r in rows(scored, "query_id", "scored")) < 0.5 * 100 * 2000
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    got = {}
+    for q, v in rows(best, "query_id", "vec_id"):
+        got.setdefault(q, set()).add(v)
+    assert all(got[q] == set(np.argsort(-s[q])[:20].tolist()) for q in range(0, 2000, 20))
+
+
 def test_relaxed_search_keeps_recall():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(6000, 6))
@@ -384,6 +433,7 @@ def test_relaxed_search_keeps_recall():
         best = vptree.Best(np.arange(0, 6000, 40), x[::40], 20)
         best.search(tree, relax)
         found[relax] = [set(r) for r in best.of.tolist()]
+        assert best.scored.mean() < 6000
     assert np.mean([len(a & b) / 20 for a, b in zip(found[1.0], found[0.7])]) >= 0.9
 
 
