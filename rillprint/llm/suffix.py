@@ -1,212 +1,498 @@
-"""Suffix order and common prefixes of a text by induced sorting, with queues that go to disk.
-
-The text's leftmost S-type (LMS) substrings are sorted by one induction and named; the string of names is
-sorted by ranks of doubled length; then a second induction sorts all suffixes.  An induction reads
-suffixes in order and puts each one's predecessor into the queue of its first symbol: a priority queue by
-(symbol, turn).  With a suffix goes its common prefix with the one before it in its queue: one more than the least
-common prefix among the suffixes read since.  Queues beyond MEMORY_BYTES are kept in an unnamed file that only this
-task sees and that ends with it.  Orders are settled to DEPTH symbols: what repeats is looked for below that length.
+"""Suffix order and common prefixes of a text by external induced sorting.
+
+The text's leftmost S-type (LMS) substrings are sorted by one induction and named; the string of names is sorted in
+the same way, by recursion, until no name repeats; then a second induction sorts all suffixes.  An induction
+reads suffix tuples from a priority queue and puts each one's predecessor back into it, under its own first symbol.  At the
+level of the text a tuple also carries the common prefix with the one before it: one more than the least common prefix among
+the tuples read since.  Those of neighbouring LMS suffixes are read off the text.
+
+Nothing is held as a whole: queues are sorted runs, and texts, names and places are blocks.  What a sort keeps beyond
+its memory goes to files in a folder of its own, which is shared, so a lost executor's task starts over elsewhere.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow.fs
 
-DEPTH = 56
-MEMORY_BYTES = 256 << 20
-PACK = 7  # symbols of 9 bits in a 64-bit word
-
-
-class Queues:
-    """First-in-first-out queues of (suffix, common prefix), one for each symbol."""
-
-    def __init__(self, symbols: int, memory: int = MEMORY_BYTES):
-        self.parts: list[list] = [[] for _ in range(symbols)]
-        self.memory, self.held, self.file = memory, 0, None
-
-    def put(self, symbol: int, suffixes: np.ndarray, common: np.ndarray) -> None:
-        self.parts[symbol].append((suffixes, common))
-        self.held += suffixes.nbytes + common.nbytes
-        if self.held > self.memory:
-            self._to_disk()
-
-    def _to_disk(self) -> None:
-        self.file = self.file or tempfile.TemporaryFile()
-        for parts in self.parts:
-            for k, (suffixes, common) in enumerate(parts):
-                if isinstance(suffixes, np.ndarray):
-                    at = self.file.seek(0, 2)
-                    self.file.write(suffixes.tobytes())
-                    self.file.write(common.tobytes())
-                    parts[k] = (at, len(suffixes))
-        self.held = 0
-
-    def take(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
-        """All of a queue in order; it is empty afterwards."""
-        out = []
-        for a, b in self.parts[symbol]:
-            if isinstance(a, np.ndarray):
-                self.held -= a.nbytes + b.nbytes
-            else:
-                self.file.seek(a)
-                a, b = np.frombuffer(self.file.read(4 * b), np.int32), np.frombuffer(self.file.read(b), np.uint8)
-            out.append((a, b))
-        self.parts[symbol] = []
-        if not out:
-            return np.zeros(0, np.int32), np.zeros(0, np.uint8)
-        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
-
-
-class Text:
-    """A string of symbols below 510, with its types and its words of PACK symbols."""
-
-    def __init__(self, symbols: np.ndarray):
-        n = len(symbols)
-        self.s = s = np.concatenate([symbols.astype(np.uint16) + 1, np.zeros(1, np.uint16)])  # the last one is least
-        up, differs = s[:-1] < s[1:], s[:-1] != s[1:]
-        # equal neighbours take the type of the next symbol that differs
-        upto = np.where(differs, np.arange(n), n)
-        upto = np.minimum.accumulate(upto[::-1])[::-1]
-        self.is_s = np.concatenate([np.concatenate([up, [False]])[np.minimum(upto, n)], [True]])
-        self.lms = np.flatnonzero(self.is_s[1:] & ~self.is_s[:-1]).astype(np.int32) + 1
-        self.kinds = int(s.max()) + 1
-        padded = np.concatenate([s, np.zeros(PACK, np.uint16)]).astype(np.uint64)
-        self.words = np.zeros(n + 1, np.uint64)
-        for k in range(PACK):
-            self.words = (self.words << np.uint64(9)) | padded[k : n + 1 + k]
-
-    def word(self, at: np.ndarray) -> np.ndarray:
-        return self.words[np.minimum(at, len(self.words) - 1)]
-
-    def common(self, a: np.ndarray, b: np.ndarray, most: int = DEPTH) -> np.ndarray:
-        """Symbols that the suffixes at a and b have in common, up to ``most``."""
-        out = np.full(len(a), most, np.uint8)
-        open_ = np.arange(len(a))
-        for at in range(0, most, PACK):
-            x = self.word(a[open_] + at) ^ self.word(b[open_] + at)
-            hit = np.flatnonzero(x)
-            first = np.zeros(len(hit), np.int64)
-            for k in range(PACK - 1):
-                first += (x[hit] >> np.uint64(9 * (PACK - 1 - k))) == 0
-            out[open_[hit]] = np.minimum(at + first, most)
-            open_ = open_[x == 0]
-            if not len(open_):
-                break
+MEMORY_BYTES = 128 << 20
+ROWS = 1 << 15  # tuples looked at together
+END, GAP = 0, 1  # the end of a text, below all symbols; the gap between strings, which equals nothing
+_NONE = np.iinfo(np.int64).max
+Arrays = tuple[np.ndarray, ...]
+
+
+class Store:
+    """Arrays of one sort: in memory up to a limit, then in files of a folder of this sort."""
+
+    def __init__(self, folder: str, memory: int = MEMORY_BYTES):
+        self.fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+        self.path, self.memory = f"{path}/{uuid.uuid4().hex}", memory
+        self.held = self.spilled = self.files = 0
+
+    def keep(self, arrays: Arrays):
+        """A handle of the arrays."""
+        size = sum(a.nbytes for a in arrays)
+        if self.held + size <= self.memory:
+            self.held += size
+            return arrays
+        if not self.files:
+            self.fs.create_dir(self.path, recursive=True)
+        self.files += 1
+        self.spilled += size
+        name = f"{self.path}/{self.files}"
+        with self.fs.open_output_stream(name, compression=None) as f:
+            for a in arrays:
+                f.write(np.ascontiguousarray(a).view(np.uint8))
+        return name, [(a.dtype, len(a)) for a in arrays]
+
+    def get(self, kept) -> Arrays:
+        if not isinstance(kept[0], str):
+            return kept
+        with self.fs.open_input_file(kept[0]) as f:
+            return tuple(np.frombuffer(f.read(kind.itemsize * n), kind) for kind, n in kept[1])
+
+    def take(self, kept) -> Arrays:
+        out = self.get(kept)
+        if isinstance(kept[0], str):
+            self.fs.delete_file(kept[0])
+        else:
+            self.held -= sum(a.nbytes for a in kept)
         return out
 
+    def clear(self) -> None:
+        if self.files:
+            self.fs.delete_dir(self.path)
 
-def induce(text: Text, lms: np.ndarray, lms_common: np.ndarray | None, memory: int = MEMORY_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes in order, and the common prefix of each with the one before, from the sorted LMS suffixes."""
-    s, is_s, carry = text.s, text.is_s, lms_common is not None
-    if not carry:
-        lms_common = np.zeros(len(lms), np.uint8)
-    begins = np.searchsorted(s[lms], np.arange(text.kinds + 1))
-    queues, since = Queues(text.kinds, memory), np.full(text.kinds, 255, np.uint8)
-    halves: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-
-    def push(own: int, suffixes: np.ndarray, common: np.ndarray, want_s: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Queue the predecessors of the wanted type; those of the same symbol are returned, as they are read at once."""
-        before = suffixes - 1
-        picked = np.flatnonzero((before >= 0) & (is_s[before] == want_s))
-        symbol = s[before[picked]]
-        order = np.argsort(symbol, kind="stable")
-        picked, symbol = picked[order], symbol[order]
-        cuts = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]])) if len(symbol) else np.zeros(0, int)
-        if carry:
-            least = common.min() if len(common) else 255
-            lowered = np.minimum(since, least)
-        again = (np.zeros(0, np.int32), np.zeros(0, np.uint8))
-        for k, at in enumerate(cuts.tolist()):
-            stop = int(cuts[k + 1]) if k + 1 < len(cuts) else len(symbol)
-            to, rows = int(symbol[at]), picked[at:stop]
-            new = np.zeros(len(rows), np.uint8)
+
+class Stream:
+    """Rows of a few arrays, appended in turn and read once, forward or backward."""
+
+    def __init__(self, store: Store):
+        self.store, self.parts, self.wait, self.rows = store, [], [], 0
+        self.most = min(ROWS, max(256, store.memory // 256))
+
+    def append(self, *arrays: np.ndarray) -> None:
+        if not len(arrays[0]):
+            return
+        self.rows += len(arrays[0])
+        self.wait.append(arrays)
+        if sum(len(a[0]) for a in self.wait) >= self.most:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.wait:
+            self.parts.append(self.store.keep(tuple(map(np.concatenate, zip(*self.wait)))))
+            self.wait = []
+
+    def forward(self) -> Iterator[Arrays]:
+        self._flush()
+        self.parts.reverse()
+        while self.parts:
+            yield self.store.take(self.parts.pop())
+
+    def backward(self) -> Iterator[Arrays]:
+        self._flush()
+        while self.parts:
+            yield tuple(a[::-1] for a in self.store.take(self.parts.pop()))
+
+    def drop(self) -> None:
+        for _ in self.forward():
+            pass
+
+
+class Stored:
+    """A long array, appended in blocks and then read at any places; beyond a share of the memory through a cache of blocks."""
+
+    def __init__(self, store: Store, kind):
+        self.store, self.kind, self.parts, self.wait, self.n, self.top = store, np.dtype(kind), [], [], 0, 0
+        self.block = min(1 << 16, max(64, store.memory // 64 // self.kind.itemsize))
+        self.flat, self.waiting = None, 0
+
+    def append(self, values: np.ndarray) -> None:
+        values = values.astype(self.kind)
+        self.n += len(values)
+        self.top = max(self.top, int(values.max(initial=0)))
+        self.wait.append(values)
+        self.waiting += len(values)
+        if self.waiting >= self.block:
+            self._flush(self.block)
+
+    def _flush(self, least: int) -> None:
+        all_of = np.concatenate([*self.wait, np.zeros(0, self.kind)])
+        cut = len(all_of) if least == 1 else len(all_of) // self.block * self.block
+        self.parts += [self.store.keep((all_of[a : a + self.block].copy(),)) for a in range(0, cut, self.block)]
+        self.wait, self.waiting = [all_of[cut:]], len(all_of) - cut
+
+    def close(self) -> Stored:
+        self._flush(1)
+        if self.n * self.kind.itemsize <= self.store.memory // 4:
+            self.flat = np.concatenate([*(self.store.take(p)[0] for p in self.parts), np.zeros(0, self.kind)])
+            self.store.held += self.flat.nbytes
+        else:
+            slots = max(4, self.store.memory // 8 // (self.block * self.kind.itemsize))
+            self.slots, self.at, self.next = np.zeros((slots, self.block), self.kind), np.full(len(self.parts), -1), 0
+            self.holds = np.full(slots, -1)
+        return self
+
+    def blocks(self, back: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """(place of the first, values) of all blocks in order, or from the last one."""
+        order = range(-(-self.n // self.block))
+        for k in reversed(order) if back else order:
+            yield k * self.block, self.store.get(self.parts[k])[0] if self.flat is None else self.flat[k * self.block : (k + 1) * self.block]
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        if self.flat is not None:
+            return self.flat[at]
+        block, place = np.divmod(at, self.block)
+        need = np.unique(block)
+        if len(need) > len(self.slots):  # some blocks at a time
+            out = np.zeros(at.shape, self.kind)
+            for low in range(0, len(need), len(self.slots)):
+                some = (block >= need[low]) & (block <= need[min(low + len(self.slots), len(need)) - 1])
+                out[some] = self[at[some]]
+            return out
+        for b in need[self.at[need] < 0].tolist():
+            while self.holds[self.next] in need:
+                self.next = (self.next + 1) % len(self.slots)
+            if self.holds[self.next] >= 0:
+                self.at[self.holds[self.next]] = -1
+            values = self.store.get(self.parts[b])[0]
+            self.slots[self.next, : len(values)] = values
+            self.at[b], self.holds[self.next] = self.next, b
+            self.next = (self.next + 1) % len(self.slots)
+        return self.slots[self.at[block], place]
+
+    def drop(self) -> None:
+        if self.flat is not None:
+            self.store.held -= self.flat.nbytes
+        else:
+            while self.parts:
+                self.store.take(self.parts.pop())
+        self.flat = self.slots = None
+
+
+class Run:
+    """Sorted rows, chunk by chunk."""
+
+    def __init__(self, chunks: Iterator[Arrays]):
+        self.chunks, self.now, self.at, self.over = chunks, None, 0, False
+
+    def ready(self) -> bool:
+        while not self.over and (self.now is None or self.at == len(self.now[0])):
+            self.now, self.at = next(self.chunks, None), 0
+            self.over = self.now is None
+        return not self.over
+
+    def last(self, rows: int) -> int:
+        """The key that is read last if so many rows are looked at."""
+        return int(self.now[0][min(self.at + rows, len(self.now[0])) - 1])
+
+    def pull(self, upto: int, rows: int, side: str) -> Arrays:
+        """Of so many rows, those with keys below upto (side left), or that and below (right)."""
+        n = int(np.searchsorted(self.now[0][self.at : self.at + rows], upto, side))
+        self.at += n
+        return tuple(a[self.at - n : self.at] for a in self.now)
+
+
+def in_order(arrays: Arrays) -> Arrays:
+    order = np.argsort(arrays[0], kind="stable")
+    return tuple(a[order] for a in arrays)
+
+
+class Queue:
+    """A priority queue of rows whose first array is the key; equal keys leave in the order they came in.
+
+    Runs are in that order too: what was spilled, then what is in memory, then what has just come.
+    """
+
+    def __init__(self, store: Store, most_key: int):
+        self.store = store
+        self.kind = np.uint16 if most_key < 1 << 16 else np.int32 if most_key < 1 << 31 else np.int64
+        self.old: list[Run] = []
+        self.young: list[Run] = []
+        self.new: list[Arrays] = []
+        self.near, self.size, self.young_rows = None, 0, 0
+        self.most = max(1024, store.memory // 8 // 16)  # rows in memory
+        self.rows = min(ROWS, self.most)
+
+    def put(self, key: np.ndarray, *others: np.ndarray) -> None:
+        rows = (key.astype(self.kind), *others)
+        if self.near is not None and len(self.near[0]):
+            soon = key < self.near[0][-1]  # others wait behind those of the last key
+            if soon.any():
+                self.near = in_order(tuple(np.concatenate([a, b[soon]]) for a, b in zip(self.near, rows)))
+                rows = tuple(a[~soon] for a in rows)
+        if len(rows[0]):
+            self.new.append(rows)
+            self.size += len(rows[0])
+            if self.size > self.most:
+                self._settle()
+
+    def add_run(self, chunks: Iterator[Arrays]) -> None:
+        self.old.append(Run(chunks))
+
+    def _settle(self) -> None:
+        """What has come becomes a run; many runs become one, and many rows go to the store."""
+        if self.new:
+            rows = in_order(tuple(map(np.concatenate, zip(*self.new))))
+            self.new, self.size = [], 0
+            self.young.append(Run(iter([rows])))
+            self.young_rows += len(rows[0])
+        if len(self.young) > 32 or self.young_rows > self.most:
+            parts = [tuple(a[r.at :] for a in r.now) for r in self.young if r.ready()]
+            self.young, self.young_rows = [], 0
+            if parts:
+                rows = in_order(tuple(map(np.concatenate, zip(*parts))))
+                if len(rows[0]) > self.most // 2:
+                    out = Stream(self.store)
+                    for a in range(0, len(rows[0]), self.rows):
+                        out.append(*(x[a : a + self.rows] for x in rows))
+                    self.old.append(Run(out.forward()))
+                else:
+                    self.young, self.young_rows = [Run(iter([rows]))], len(rows[0])
+
+    def head(self) -> Arrays | None:
+        """The next rows, at least one if there is any."""
+        if self.near is None or not len(self.near[0]):
+            self._settle()
+            self.old = [r for r in self.old if r.ready()]
+            self.young = [r for r in self.young if r.ready()]
+            runs = [*self.old, *self.young]
+            if not runs:
+                return None
+            each = max(64, self.rows // len(runs))
+            upto = min(r.last(each) for r in runs)
+            parts = [r.pull(upto, each, "left") for r in runs]
+            if not any(len(p[0]) for p in parts):  # all of one key: from the first run that has it
+                parts = [next(r for r in runs if r.now[0][r.at] == upto).pull(upto, each, "right")]
+            self.near = in_order(tuple(map(np.concatenate, zip(*parts))))
+        return self.near
+
+    def advance(self, rows: int) -> None:
+        self.near = tuple(a[rows:] for a in self.near)
+
+    def drain(self) -> Iterator[Arrays]:
+        """All rows in order, when no more will come."""
+        while (rows := self.head()) is not None:
+            self.near = None
+            yield rows
+
+
+class Text(Stored):
+    """Symbols of a string; close() adds its end."""
+
+    def close(self) -> Text:
+        self.append(np.zeros(1, self.kind))
+        super().close()
+        if self.flat is not None and self.kind == np.uint16:
+            padded = np.append(self.flat, np.zeros(3, self.kind))
+            self.flat, self.words = padded[: self.n], np.ndarray(self.n, "<u8", padded, strides=(2,))
+        return self
+
+    words = None  # of four symbols at every place, where the text is in memory
+
+    def same(self, a: np.ndarray, b: np.ndarray, most: np.ndarray | None = None, gap: int = -1) -> np.ndarray:
+        """Symbols that the suffixes at a and b have in common, up to ``most``; gaps equal nothing."""
+        out = np.zeros(len(a), np.int64)
+        for low in range(0, len(a), ROWS):
+            open_ = np.arange(low, min(low + ROWS, len(a)))
+            while len(open_) and self.words is not None:
+                left = self.words[a[open_] + out[open_]]
+                unlike = left ^ self.words[b[open_] + out[open_]]
+                if gap >= 0:  # the lowest sign of each that is a gap gets a bit, too
+                    left = left ^ np.uint64(gap * 0x0001000100010001)
+                    unlike |= (left - np.uint64(0x0001000100010001)) & ~left & np.uint64(0x8000800080008000)
+                first = np.where(unlike & np.uint64(0xFFFFFFFF), np.where(unlike & np.uint64(0xFFFF), 0, 1), np.where(unlike & np.uint64(0xFFFFFFFFFFFF), 2, np.where(unlike, 3, 4)))
+                out[open_] += first
+                open_ = open_[(first == 4) if most is None else (first == 4) & (out[open_] < most[open_])]
+            while len(open_):
+                step = np.arange(min(max(1 << 18, len(open_)) // len(open_), 8 if len(open_) > 1024 else 1024))
+                x, y = ((at[open_] + out[open_])[:, None] + step for at in (a, b))
+                left, right = self[np.minimum(x, self.n - 1)], self[np.minimum(y, self.n - 1)]
+                bad = (left != right) | (left == gap) | (x >= self.n - 1) | (y >= self.n - 1)
+                if most is not None:
+                    bad |= out[open_][:, None] + step >= most[open_][:, None]
+                first = np.where(bad.any(axis=1), bad.argmax(axis=1), len(step))
+                out[open_] += first
+                open_ = open_[first == len(step)]
+        return out if most is None else np.minimum(out, most)
+
+
+def lms_places(text: Text) -> Stored:
+    """Places of the LMS suffixes in order, that of the end at last."""
+    found, store = Stream(text.store), text.store
+    after, after_s = None, True
+    for begin, s in text.blocks(back=True):
+        s = s.astype(np.int64)
+        ahead = np.append(s[1:], -1 if after is None else after)
+        up, differs = s < ahead, s != ahead
+        # equal neighbours take the type of the next symbol that differs; the end is of type S
+        upto = np.minimum.accumulate(np.where(differs, np.arange(len(s)), len(s))[::-1])[::-1]
+        is_s = np.append(up, after_s)[upto]
+        if after is None:
+            is_s[-1] = True
+        types = np.append(is_s, after_s)
+        places = np.flatnonzero(types[1:] & ~types[:-1])[::-1] + begin + 1
+        found.append(places)
+        after, after_s = s[0], bool(is_s[0])
+    out = Stored(store, np.int32 if text.n < 1 << 31 else np.int64)
+    for (places,) in found.backward():
+        out.append(places)
+    return out.close()
+
+
+def induce(text: Text, seeds: Iterator[tuple[np.ndarray, np.ndarray]], carry: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All suffixes but the end, from the last to the first: (suffix, carried, whether it is LMS).
+
+    seeds are LMS suffixes with what they carry, in order within each first symbol.  With ``carry`` that is the common prefix with the
+    one before them, and that of each suffix comes out; else the number of the LMS suffix itself, and the next one's comes out.
+    """
+    store, most = text.store, 2 * text.top + 3
+    queue = Queue(store, most)
+    for suffixes, carried in seeds:
+        queue.put(2 * text[suffixes].astype(np.int64) + 1, suffixes, carried)
+    larger = Stream(store)  # L-type suffixes in order
+
+    def write(even: np.ndarray, suffixes: np.ndarray, carried: np.ndarray, lms: np.ndarray) -> None:
+        larger.append(suffixes[even], carried[even])
+
+    for rows in _scan(text, queue, carry, lambda key: key >> 1, lambda symbol: 2 * symbol, lambda before, own, even: ~even | (before >= own)):
+        write(*rows)
+    queue = Queue(store, most)
+
+    def backward() -> Iterator[Arrays]:
+        # read from the last: what a suffix has in common with the one read before it stands with that one
+        later = 0
+        for suffixes, carried in larger.backward():
             if carry:
-                first, last = int(rows[0]), int(rows[-1])
-                new[0] = min(since[to], common[: first + 1].min())
-                if len(rows) > 1:
-                    new[1:] = np.minimum.reduceat(common[: last + 1], rows[:-1] + 1)
-                lowered[to] = common[last + 1 :].min() if last + 1 < len(common) else 255
-                new = np.minimum(new, DEPTH - 1) + np.uint8(1)
-            if to == own:
-                again = (before[rows], new)
-            else:
-                queues.put(to, before[rows], new)
+                carried, later = np.append(np.array([later], carried.dtype), carried[:-1]), carried[-1]
+            yield (2 * (text.top - text[suffixes].astype(np.int64)) + 1).astype(queue.kind), suffixes, carried
+
+    queue.add_run(backward())
+    turn = lambda key: text.top - (key >> 1)
+    for _, suffixes, carried, lms in _scan(text, queue, carry, turn, lambda symbol: 2 * (text.top - symbol), lambda before, own, even: np.where(even, before <= own, before < own)):
+        yield suffixes, carried, lms
+
+
+def _scan(text: Text, queue: Queue, carry: bool, symbol_of: Callable, key_of: Callable, wanted: Callable) -> Iterator[tuple[np.ndarray, ...]]:
+    """Read the queue and put predecessors into it: (of the type looked for, suffixes, carried, LMS) in order.
+
+    A key is even for suffixes of the type looked for and odd for seeds, which come after them.  Of the rows at the head,
+    those are read whose keys no predecessor of the rows before them goes below.
+    """
+    since = np.full(text.top + 1, -1, np.int64) if carry else None  # least common prefix since a symbol was put
+    look, last = queue.rows, None
+    while (head := queue.head()) is not None:
+        key, suffixes, carried = (a[:look] for a in head)
+        key = key.astype(np.int64)
+        own, even, before = symbol_of(key), key % 2 == 0, suffixes - 1
+        symbol = text[np.maximum(before, 0)].astype(np.int64)
+        put = (before >= 0) & wanted(symbol, own, even)
+        new_key = np.where(put, key_of(symbol), _NONE)
+        unsafe = key[1:] > np.minimum.accumulate(new_key)[:-1]
+        n = 1 + int(unsafe.argmax()) if unsafe.any() else len(key)
+        look = min(max(256, 2 * n), queue.rows)
+        key, own, even, suffixes, carried, before, symbol, put, new_key = (a[:n] for a in (key, own, even, suffixes, carried, before, symbol, put, new_key))
+        kind = carried.dtype
         if carry:
-            since[:] = lowered
-        return again
-
-    def run(c: int, want_s: bool, rest: np.ndarray, rest_common: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Read the queue of a symbol, then the suffixes of the other type; what came out of the queue."""
-        came, last = [], None
-        suffixes, common = queues.take(c)
-        fresh = True
-        while len(suffixes):
-            if fresh:
-                common = np.concatenate([np.zeros(1, np.uint8), common[1:]])
-                fresh = False
-            came.append((suffixes, common))
-            last = suffixes[-1:]
-            suffixes, common = push(c, suffixes, common, want_s)
-        if len(rest):
+            carried = carried.astype(np.int64)
+            was = np.concatenate([[-1] if last is None else last[:1], key[:-1]])
+            # the first seed after suffixes of the same symbol
+            seam = np.flatnonzero((key % 2 == 1) & (was == key - 1))
+            if len(seam):
+                ahead = np.concatenate([[0] if last is None else last[1:], suffixes[:-1]])
+                carried[seam] = text.same(ahead[seam], suffixes[seam], gap=GAP)
+            last = np.array([key[-1], suffixes[-1]])
+        lms = even & (before >= 0) & ~put
+        queue.advance(n)
+        rows = np.flatnonzero(put)
+        if len(rows):
+            order = rows[np.argsort(symbol[rows], kind="stable")]
+            child = carried[order]
+            if carry:
+                child = _common(carried, order, symbol[order], since)
+            queue.put(new_key[order], before[order], child.astype(kind))
+        elif carry:
+            np.minimum(since, carried.min(), out=since)
+        yield even, suffixes, carried.astype(kind), lms
+
+
+def _common(carried: np.ndarray, order: np.ndarray, symbol: np.ndarray, since: np.ndarray) -> np.ndarray:
+    """Common prefixes of new rows, sorted by symbol and made from these places, with the one of their symbol before them."""
+    out = np.zeros(len(order), np.int64)
+    first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+    stop = np.append(first[1:], len(order))
+    lowered = np.minimum(since, carried.min())
+    for a, b in zip(first.tolist(), stop.tolist()):
+        at, c = order[a:b], symbol[a]
+        out[a] = min(since[c], carried[: at[0] + 1].min())
+        if b - a > 1:
+            out[a + 1 : b] = np.minimum.reduceat(carried[: at[-1] + 1], at[:-1] + 1)
+        lowered[c] = carried[at[-1] + 1 :].min() if at[-1] + 1 < len(carried) else _NONE
+    since[:] = lowered
+    return np.where(symbol == GAP, 0, out + 1)
+
+
+def names_of(text: Text, lms: Stored) -> tuple[Stream, Text | None]:
+    """LMS suffixes by number, from the last to the first substring, and the string of names unless all differ."""
+    def seeds() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for begin, places in lms.blocks():
+            yield places, np.arange(begin, begin + len(places)).astype(lms.kind)
+
+    order, by_place = Stream(text.store), Queue(text.store, lms.n)
+    name, last = -1, None
+    for suffixes, following, is_lms in induce(text, seeds(), False):
+        places, following = suffixes[is_lms], following[is_lms]
+        if not len(places):
+            continue
+        size = lms[following] - places + 1
+        ahead, ahead_size = (np.append(v, x[:-1]) for v, x in zip(last or (places[:1], [-1]), (places, size)))
+        new = size != ahead_size
+        check = np.flatnonzero(~new)
+        new[check] = text.same(ahead[check], places[check], size[check]) < size[check]
+        names = name + np.cumsum(new)
+        name, last = int(names[-1]), (places[-1:], size[-1:])
+        order.append(following - 1)
+        by_place.put(following - 1, names)
+    if name + 1 == order.rows:
+        return order, None
+    reduced = Text(text.store, np.int32 if name < 1 << 30 else np.int64)
+    for _, names in by_place.drain():
+        reduced.append(name + 1 - names)
+    return order, reduced.close()
+
+
+def descending(text: Text, carry: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(suffix, common prefix with the next larger one) of all suffixes, from the last to the first; the end is left out.
+
+    With ``carry`` False there are no common prefixes.  Symbols are from 2 on; GAP stands between strings, and a common prefix ends there.
+    """
+    lms = lms_places(text)
+    order, reduced = names_of(text, lms)
+    if reduced is not None:
+        order.drop()
+        order = Stream(text.store)
+        for numbers, _ in descending(reduced, False):
+            order.append(numbers)
+        reduced.drop()
+
+    def seeds() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield np.array([text.n - 1], lms.kind), np.zeros(1, np.int32)
+        ahead = None
+        for (numbers,) in order.backward():
+            places = lms[numbers]
             if carry:
-                first = text.common(last, rest[:1]) if last is not None else np.zeros(1, np.uint8)
-                rest_common = np.concatenate([first, rest_common[1:]])
-            push(c, rest, rest_common, want_s)
-        return came
-
-    for c in range(text.kinds):
-        some = slice(begins[c], begins[c + 1])
-        halves[0].append(run(c, False, lms[some], lms_common[some]))
-    since[:] = 255
-    join = lambda parts: (np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])) if parts else (np.zeros(0, np.int32), np.zeros(0, np.uint8))
-    suffixes, commons = [], []
-    for c in range(text.kinds - 1, -1, -1):
-        low, low_common = join(halves[0][c])
-        halves[0][c] = None
-        # read from the last to the first: what a suffix has in common with the next one read stands with the later one
-        down = np.concatenate([np.zeros(1, np.uint8), low_common[:0:-1]]) if len(low) else low_common
-        high, high_common = join(run(c, True, low[::-1], down))
-        if c == 0:
-            high, high_common = np.array([len(s) - 1], np.int32), np.zeros(1, np.uint8)
-        seam = text.common(low[-1:], high[-1:]) if carry and len(low) and len(high) else np.zeros(min(1, len(high)), np.uint8)
-        suffixes.append(np.concatenate([low, high[::-1]]))
-        commons.append(np.concatenate([low_common, seam, high_common[:0:-1]]))
-    return np.concatenate(suffixes[::-1]), np.concatenate(commons[::-1])
-
-
-def sorted_lms(text: Text, memory: int = MEMORY_BYTES) -> np.ndarray:
-    """LMS suffixes in order, to DEPTH symbols."""
-    lms = text.lms
-    rough = lms[np.argsort(text.s[lms], kind="stable")]
-    order, _ = induce(text, rough, None, memory)
-    is_lms = np.zeros(len(text.s), bool)
-    is_lms[lms] = True
-    order = order[is_lms[order]]
-    ends = np.append(lms[1:], len(text.s) - 1)
-    place = np.zeros(len(text.s), np.int32)
-    place[lms] = np.arange(len(lms))
-    size = (ends - lms + 1)[place[order]]
-    same = size[1:] == size[:-1]
-    check = np.flatnonzero(same)
-    # LMS substrings as long as DEPTH are told apart by that much
-    long = np.minimum(size[1:][check], DEPTH).astype(np.uint8)
-    same[check] = text.common(order[:-1][check], order[1:][check]) >= long
-    names = np.zeros(len(lms), np.int64)
-    names[place[order]] = np.cumsum(np.concatenate([[0], ~same])) + 1
-    rank, step = names, 1
-    while step < DEPTH and rank.max(initial=0) < len(rank):  # a name stands for two symbols at least
-        pair = rank * (len(rank) + 1) + np.concatenate([rank[step:], np.zeros(min(step, len(rank)), np.int64)])[: len(rank)]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64) + 1
-        step *= 2
-    return lms[np.argsort(rank, kind="stable")]
-
-
-def suffix_array(symbols: np.ndarray, memory: int = MEMORY_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of the symbols (below 509) in order, and common prefixes of neighbours, both to DEPTH symbols."""
-    text = Text(symbols)
-    lms = sorted_lms(text, memory)
-    common = np.concatenate([np.zeros(min(1, len(lms)), np.uint8), text.common(lms[:-1], lms[1:])])
-    order, lcp = induce(text, lms, common, memory)
-    return order[1:], np.concatenate([np.zeros(min(1, len(order) - 1), np.uint8), lcp[2:]])
+                before = places[:0] if ahead is None else ahead
+                common = text.same(np.append(before, places[:-1]), places[1 - len(before) :], gap=GAP)
+                yield places, np.append(np.zeros(1 - len(before)), common).astype(np.int32)
+                ahead = places[-1:]
+            else:
+                yield places, np.zeros(len(places), np.int32)
+
+    for suffixes, common, _ in induce(text, seeds(), carry):
+        yield suffixes, common
+    lms.drop()

@@ -6,16 +6,20 @@ A byte goes if a string of WINDOW bytes that covers it also starts in a document
 2. Every window is given an anchor: the GRAM bytes in it with the least hash (the leftmost of equals).  Equal windows
    have equal anchors, so only windows whose anchor is found in several documents can repeat.  Blocks say which anchors
    they have, once each, and hear which of them are shared: a very frequent one costs an entry for each block.
-   Segments of an anchor with too many of them to be sorted at once are split into their windows, each of which is
+   Segments of an anchor that has over HOT_SEGMENTS of them are split into their windows, each of which is
    its own anchor, and blocks say and hear once more: an edge of boilerplate is dealt over all shards, and
    only its windows that several documents have are sent.
 3. The stretch of windows that share an anchor is a segment.  Blocks send their distinct segments with shared anchors, each
    with the smallest doc_id that has it, to the shard of the anchor; so all equal windows meet in one shard.
-4. A shard sorts its segments' suffixes by external induced sorting (suffix.py).  Neighbours with WINDOW
-   bytes in common are copies of one window; each learns the smallest doc_id among them.
+4. A shard's distinct segments (equal hashes are compared byte by byte) are one text, which external induced sorting
+   (suffix.py) sorts as a whole, however long it is.  Neighbours with WINDOW bytes in common are copies of one window;
+   each learns the smallest doc_id among them.
 5. Blocks hear that for their segments, mark what is covered, and hash what is left.
 
-What moves is one compressed row for each block and shard that have to do with one another.
+What moves is one compressed row for each block and shard that have to do with one another.  There are MAX_SHARDS at
+most, so a block has a bounded number of rows and all of them grow with the input; beyond MAX_SHARDS * SHARD_BYTES of text
+the shards grow instead, which the sort is for.  Of a shard, 20 bytes for each segment (of 67 bytes on average) stay in
+memory, and while shared anchors are looked for, 40 for each of its anchors.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_path, small_batches, written
-from .suffix import suffix_array
+from .suffix import GAP, Queue, Store, Stored, Text, descending
 
 WINDOW = 50
 GRAM = 16
@@ -42,7 +46,9 @@ STARTS = WINDOW - GRAM + 1  # places of a gram in a window
 BLOCK_BYTES = 4 << 20  # of text; a longer text has a block of its own
 SHARD_BYTES = 12 << 20  # of text for each shard on the whole
 STEP = 1 << 16  # windows looked at together, in the processor's cache
-SORT_BYTES = 6 << 20  # of segments that are sorted at once, about; those of one anchor are no more
+MAX_SHARDS = 1 << 16
+PIECE_BYTES = 24 << 20  # of segments that are made distinct at once
+HOT_SEGMENTS = 75_000  # of an anchor; those of more are dealt by window
 
 BLOCKS = "block long, path string, bytes long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -187,23 +193,45 @@ def shard_of(anchor: np.ndarray, shards: int) -> np.ndarray:
     return (anchor >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(bits: int) -> np.ndarray:
-    powers = np.full((1 << bits) + 1, np.uint64(_BASE))
+@functools.lru_cache(maxsize=2)
+def _powers(base: int) -> np.ndarray:
+    powers = np.full(2 * BLOCK_BYTES + 1, np.uint64(base))
     powers[0] = 1
     return np.multiply.accumulate(powers)
 
 
 def string_hashes(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hashes of text[start : start + size]."""
-    powers = _powers(max(len(text), 2 * BLOCK_BYTES).bit_length())[: len(text) + 1]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[text] * powers[:-1], dtype=np.uint64)])
-    # brought to the same power, that of the text's end
-    h = (sums[start + size] - sums[start]) * powers[len(text) - start]
+    """64-bit hashes of text[start : start + size], short strings in the order of their starts."""
+    powers, inverse = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+    h = np.empty(len(start), np.uint64)
+    low = 0
+    while low < len(start):  # those that begin in the next BLOCK_BYTES
+        origin = start[low]
+        high = int(np.searchsorted(start, origin + BLOCK_BYTES))
+        at, own = start[low:high] - origin, size[low:high]
+        some = text[origin : origin + int((at + own).max())]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[some] * powers[: len(some)], dtype=np.uint64)])
+        h[low:high] = (sums[at + own] - sums[at]) * inverse[at]
+        low = high
     h = (h + size.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(31))
 
 
+def distinct(text: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings by key, so that equal ones follow each other by ``least``: their order, and begins and ends of equal ones."""
+    h = string_hashes(text, start, size)
+    order = np.lexsort((least, h, key))
+    h, key, size, start = h[order], key[order], size[order], start[order]
+    like = np.flatnonzero((h[1:] == h[:-1]) & (key[1:] == key[:-1]) & (size[1:] == size[:-1])) + 1
+    new = np.ones(len(order), bool)
+    for some in by_bytes(size[like]):
+        own = like[some]
+        same = strings(text, start[own], size[own]) == strings(text, start[own - 1], size[own])
+        new[own] = ~np.logical_and.reduceat(same, np.cumsum(size[own]) - size[own])
+    begin = np.flatnonzero(new)
+    return order, begin, np.append(begin, len(order))[1:]
+
+
 class Anchors:
     """Blocks to (shard, block, blob): the sorted anchors of a shard that a block has, which several of its documents have, and segments of each."""
 
@@ -215,7 +243,7 @@ class Anchors:
             for number, path in zip(batch["block"].to_pylist(), batch["path"].to_pylist()):
                 own = anchors(Block(path, self.hot), self.shards)
                 rows = [(s, number, packed(np.diff(a, prepend=np.uint64(0)), several, n)) for s, a, several, n in own]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "block", "blob"])
+                yield batch_of(rows)
 
 
 def anchors(block: Block, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -267,10 +295,8 @@ class Distinct:
             good = np.zeros(len(block.anchor), bool)
         self.first, self.count, self.anchor, self.ids = block.first[good], block.count[good], block.anchor[good], block.ids[block.doc[good]]
         size = self.count + WINDOW - 1
-        h = string_hashes(block.text, self.first, size) if len(size) else np.zeros(0, np.uint64)
         # by anchor, thus by shard, then content; equal segments follow each other by document
-        self.order = np.lexsort((self.ids, h, self.anchor))
-        self.begin, self.stop = stretches(h[self.order])
+        self.order, self.begin, self.stop = distinct(block.text, self.first, size, self.anchor, self.ids)
         one = self.order[self.begin]
         self.shard = shard_of(self.anchor[one], shards)
         self.size, self.least, self.key, self.start = size[one], self.ids[one], self.anchor[one], self.first[one]
@@ -286,10 +312,22 @@ class Distinct:
         return which, self.order[self.begin[segments][which] + step]
 
 
+def by_bytes(size: np.ndarray, most: int = 1 << 20) -> Iterator[slice]:
+    """Slices of strings of about so many bytes together."""
+    ends = np.cumsum(size)
+    cuts = np.searchsorted(ends, np.arange(most, int(ends[-1]) if len(ends) else 0, most)).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(size)]):
+        if b > a:
+            yield slice(a, b)
+
+
 def strings(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of all text[start : start + size], one after another."""
-    n = int(size.sum())
-    return text[np.arange(n) + np.repeat(start - (np.cumsum(size) - size), size)]
+    out = [np.zeros(0, text.dtype)]
+    for some in by_bytes(size):
+        at, own = start[some], size[some]
+        out.append(text[np.arange(own.sum()) + np.repeat(at - (np.cumsum(own) - own), own)])
+    return np.concatenate(out)
 
 
 class Send:
@@ -308,73 +346,151 @@ class Send:
                     some = own.of(s)
                     rows.append((s, number, packed(own.key[some], own.least[some].astype("<i8"), own.size[some].astype("u1"), strings(block.text, own.start[some], own.size[some]))))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.binary()))], ["shard", "block", "blob"])
+                    yield batch_of(rows)
+
+
+class Shard:
+    """The segments of one shard, distinct within a piece of them, to the repeats of each block's."""
+
+    def __init__(self, number: int, folder: str, memory: int | None = None):
+        self.number, self.store = number, Store(folder, *([] if memory is None else [memory]))
+        self.text, self.valid = Text(self.store, np.uint16), Stored(self.store, np.uint8)
+        self.pieces, self.begins, self.least, self.count = [], [], [], 0
+
+    def add(self, told: list[tuple[int, bytes]], whole: bool) -> None:
+        """A piece of the shard, or all of it: blobs of (anchor, smallest id, size, bytes) of segments by block."""
+        parts = [unpacked(b, "<u8", "<i8", "u1", "u1") for _, b in told]
+        n = [len(p[0]) for p in parts]
+        blocks = np.array([b for b, _ in told])
+        key, least, size, text = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        size = size.astype(np.int64)
+        start = np.cumsum(size) - size
+        order, begin, stop = distinct(text, start, size, key, least)
+        one = order[begin]  # each distinct segment, with the smallest id that has it
+        # an anchor with one segment: its windows are in no other, and there is nothing to sort
+        of, upto = stretches(key[one])
+        alone = np.repeat(upto - of == 1, upto - of) & whole
+        mine = one[~alone]
+        own = size[mine]
+        for some in by_bytes(own):
+            sizes = own[some]
+            symbols, good = np.full(int(sizes.sum()) + len(sizes), GAP, np.uint16), np.zeros(int(sizes.sum()) + len(sizes), np.int8)
+            first = np.cumsum(sizes + 1) - sizes - 1
+            symbols[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes)] = strings(text, start[mine[some]], sizes).astype(np.uint16) + 2
+            good[first] = 1
+            good[first + sizes - WINDOW + 1] = -1
+            self.begins.append(first + self.text.n)
+            self.text.append(symbols)
+            self.valid.append(np.cumsum(good, dtype=np.int8))
+        self.least.append(least[mine])
+        kept = (blocks, np.repeat(np.arange(len(n)), n), np.concatenate([np.arange(k) for k in n]), order, begin, stop, np.flatnonzero(~alone), np.flatnonzero(alone), size[one[alone]] - WINDOW, least[one[alone]])
+        self.pieces.append((self.count, self.count + len(mine), self.store.keep(kept)))
+        self.count += len(mine)
+
+    def repeats(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(segment, first window, last window, smallest id) in the order of segments; stretches with one smallest id are one row."""
+        begins, least = np.concatenate([*self.begins, np.zeros(0, np.int64)]), np.concatenate(self.least)
+        text, valid = self.text.close(), self.valid.close()
+        by_place, smallest = Queue(self.store, text.n), Stored(self.store, np.int64)
+        cuts = groups = 0
+        open_, low = -1, None
+        for suffixes, common in descending(text):
+            group = cuts + np.cumsum(common < WINDOW)
+            cuts = group[-1]
+            good = valid[suffixes] == 1  # only whole windows count
+            places, group = suffixes[good], group[good]
+            if not len(places):
+                continue
+            begin, stop = stretches(group)
+            lows = np.minimum.reduceat(least[np.searchsorted(begins, places, "right") - 1], begin)
+            if group[0] == open_:
+                lows[0] = min(lows[0], low)
+            elif low is not None:
+                smallest.append(np.array([low]))
+                groups += 1
+            by_place.put(places, groups + np.repeat(np.arange(len(begin)), stop - begin))
+            smallest.append(lows[:-1])
+            groups += len(begin) - 1
+            open_, low = group[-1], lows[-1]
+        smallest.append(np.array([] if low is None else [low]))
+        smallest.close()
+        for places, group in by_place.drain():
+            segment, low = np.searchsorted(begins, places, "right") - 1, smallest[group]
+            new, stop = stretches(segment, low)
+            offset = places - begins[segment]
+            yield segment[new], offset[new], offset[stop - 1], low[new]
+
+    def rows(self) -> Iterator[tuple[int, int, bytes]]:
+        """(shard, block, blob) of all pieces."""
+        found, waiting = self.repeats(), None
+        for first, stop, kept in self.pieces:
+            parts = [] if waiting is None else [waiting]
+            while not parts or parts[-1][0][-1] < stop:
+                if (more := next(found, None)) is None:
+                    break
+                parts.append(more)
+            all_of = [np.concatenate([p[k] for p in parts]) for k in range(4)] if parts else [np.zeros(0, np.int64)] * 4
+            at = int(np.searchsorted(all_of[0], stop))
+            waiting = tuple(a[at:] for a in all_of) if at < len(all_of[0]) else None
+            yield from self._of_piece(self.store.take(kept), all_of[0][:at] - first, *(a[:at] for a in all_of[1:]))
+        self.store.clear()
+
+    def _of_piece(self, kept: tuple, segment: np.ndarray, *others: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        blocks, block, index, order, begin, stop, mine, alone, last, least = kept
+        seg = np.concatenate([alone, mine[segment]])
+        low, high, smallest = (np.concatenate([a, b]) for a, b in zip((np.zeros(len(alone), np.int64), last, least), others))
+        # every segment equal to a distinct one hears the same
+        n = stop - begin
+        which = np.repeat(np.arange(len(seg)), n[seg])
+        step = np.arange(len(which)) - np.repeat(np.cumsum(n[seg]) - n[seg], n[seg])
+        seg, low, high, smallest = order[begin[seg][which] + step], low[which], high[which], smallest[which]
+        by_block = np.argsort(block[seg], kind="stable")
+        cuts = np.searchsorted(block[seg][by_block], np.arange(len(blocks) + 1))
+        for b, number in enumerate(blocks.tolist()):
+            some = by_block[cuts[b] : cuts[b + 1]]
+            if len(some):
+                yield self.number, number, packed(index[seg[some]].astype("<i4"), low[some].astype("u1"), high[some].astype("u1"), smallest[some].astype("<i8"))
+
+
+class SortShards:
+    """Rows (shard, block, blob) in the order of shards to the repeats of each block's segments."""
+
+    def __init__(self, folder: str, memory: int | None = None):
+        self.folder, self.memory = folder, memory
 
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, told, size = None, [], 0
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if told:
+                shard.add(told, not shard.pieces)
+            rows = []
+            for row in shard.rows():
+                rows.append(row)
+                if sum(len(r[2]) for r in rows) > BLOCK_BYTES:
+                    yield batch_of(rows)
+                    rows = []
+            yield batch_of(rows)
 
-def repeats(text: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, first window, last window, smallest id) where windows of distinct segments have a smaller id than the segment's own or the same.
-
-    Stretches of windows of one segment with the same smallest id are one row.
-    """
-    n = len(size)
-    symbols = np.zeros(len(text) + n, np.uint16)
-    ends = np.cumsum(size)
-    symbols[np.arange(len(text)) + np.repeat(np.arange(n), size)] = text.astype(np.uint16) + 1  # 0 stands between segments
-    order, common = suffix_array(symbols)
-    begin = ends - size + np.arange(n)
-    segment = np.repeat(np.arange(n), size + 1)
-    offset = np.arange(len(symbols)) - begin[segment]
-    valid = offset <= size[segment] - WINDOW
-    group = np.cumsum(common < WINDOW)
-    # only whole windows vote: other suffixes stand in groups of their own kind, as a gap is in their first symbols
-    good = valid[order]
-    rows, group = order[good], group[good]
-    ids = least[segment[rows]]
-    cuts, stop = stretches(group)
-    smallest = np.zeros(len(symbols), np.int64)
-    smallest[rows] = np.repeat(np.minimum.reduceat(ids, cuts), stop - cuts)
-    at = np.flatnonzero(valid)
-    seg, off, low = segment[at], offset[at], smallest[at]
-    new, stop = stretches(seg, low)
-    return seg[new], off[new], off[stop - 1], low[new]
-
-
-def sort_shard(group: pd.DataFrame) -> pd.DataFrame:
-    """The segments of all blocks in a shard to the repeats of each block's."""
-    parts = [unpacked(b, "<u8", "<i8", "u1", "u1") for b in group["blob"]]
-    block = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    index = np.concatenate([np.arange(len(p[0])) for p in parts])
-    key, least, size, text = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    size = size.astype(np.int64)
-    start = np.cumsum(size) - size
-    h = string_hashes(text, start, size)
-    order = np.lexsort((least, h, key))
-    begin, stop = stretches(key[order], h[order])
-    one = order[begin]  # each distinct segment, with the smallest id that has it
-    # an anchor with one segment: its windows are in no other, and there is nothing to sort
-    of, upto = stretches(key[one])
-    alone = np.repeat(upto - of == 1, upto - of)
-    found = [(np.flatnonzero(alone), np.zeros(alone.sum(), np.int64), size[one[alone]] - WINDOW, least[one[alone]])]
-    ways = 1 + int(size[one[~alone]].sum()) // SORT_BYTES
-    part = ((key[one] * np.uint64(0xA24BAED4963EE407)) >> np.uint64(40)) % np.uint64(ways)
-    for k in range(ways):
-        mine = np.flatnonzero(~alone & (part == k))
-        if len(mine):
-            seg, low, high, smallest = repeats(strings(text, start[one[mine]], size[one[mine]]), size[one[mine]], least[one[mine]])
-            found.append((mine[seg], low, high, smallest))
-    seg, low, high, smallest = (np.concatenate([f[k] for f in found]) for k in range(4))
-    # every segment equal to a distinct one hears the same
-    n = stop - begin
-    which = np.repeat(np.arange(len(seg)), n[seg])
-    step = np.arange(len(which)) - np.repeat(np.cumsum(n[seg]) - n[seg], n[seg])
-    seg, low, high, smallest = order[begin[seg][which] + step], low[which], high[which], smallest[which]
-    order = np.argsort(block[seg], kind="stable")
-    cuts = np.searchsorted(block[seg][order], np.arange(len(parts) + 1))
-    rows = []
-    for b in range(len(parts)):
-        some = order[cuts[b] : cuts[b + 1]]
-        rows.append((group["shard"].iloc[b], group["block"].iloc[b], packed(index[seg[some]].astype("<i4"), low[some].astype("u1"), high[some].astype("u1"), smallest[some].astype("<i8"))))
-    return pd.DataFrame(rows, columns=["shard", "block", "blob"])
+        for batch in batches:
+            for number, block, blob in zip(*(batch[c].to_pylist() for c in ("shard", "block", "blob"))):
+                if shard is not None and number != shard.number:
+                    yield from ended()
+                    shard = None
+                if shard is None:
+                    shard, told, size = Shard(number, self.folder, self.memory), [], 0
+                more = zstandard.frame_content_size(blob)
+                if told and size + more > PIECE_BYTES:
+                    shard.add(told, False)
+                    told, size = [], 0
+                told.append((block, blob))
+                size += more
+        if shard is not None:
+            yield from ended()
+
+
+def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.binary()))], ["shard", "block", "blob"])
 
 
 class Finish:
@@ -420,37 +536,36 @@ class Finish:
         return pa.RecordBatch.from_arrays(columns, names)
 
 
-def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, texts: bool = False, memory: int | None = None) -> DataFrame:
     """RESULT for every row of (doc_id, text), and with ``texts`` the bytes left (kept).
 
     A null text is empty; texts under WINDOW bytes lose nothing; rows with the same doc_id are no smaller than
     one another, so only smaller ids count; a null doc_id neither loses bytes nor makes others lose any; other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows.  ``memory`` limits what a sort keeps out of its files, in bytes.
     """
     spark = docs.sparkSession
     rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     blocks = written(rows.mapInArrow(WriteBlocks(new_path(spark, "blocks")), BLOCKS), "block-list")
     total, count = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
-    shards = 1 + total // SHARD_BYTES
+    shards = min(MAX_SHARDS, 1 + total // SHARD_BYTES)
     tasks = max(1, min(count, max(4 * spark.sparkContext.defaultParallelism, count // 4)))
     table = "shard long, block long, blob binary"
     spread = blocks.repartition(tasks, "block")  # said outright, else so few bytes of paths go to one task
-    most = SORT_BYTES // (WINDOW + STARTS - 1)
 
     def say(hot: np.ndarray) -> DataFrame:
         said = spread.mapInArrow(Anchors(shards, hot), table)
-        return written(said.groupBy("shard").applyInPandas(lambda group: shared_anchors(group, most), table + ", hot binary, hot_segments long"), "shared-anchors")
+        return written(said.groupBy("shard").applyInPandas(lambda group: shared_anchors(group, HOT_SEGMENTS), table + ", hot binary, hot_segments long"), "shared-anchors")
 
     shared = say(np.zeros(0, np.uint64))
-    found = shared.where("hot IS NOT NULL").select("hot", "hot_segments").collect()  # 8 bytes for every SORT_BYTES of segments at most
+    found = shared.where("hot IS NOT NULL").select("hot", "hot_segments").collect()  # 8 bytes for every HOT_SEGMENTS segments at most
     hot = np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in found), np.uint64))
     if len(hot):
         # a segment has STARTS / 2 windows on average, and a text one segment for as many bytes
-        shards = 1 + (total + sum(r[1] for r in found) * (STARTS // 2) ** 2) // SHARD_BYTES
+        shards = min(MAX_SHARDS, 1 + (total + sum(r[1] for r in found) * (STARTS // 2) ** 2) // SHARD_BYTES)
         shared = say(hot)
     gather = lambda df, name: df.groupBy("block").agg(F.collect_list(F.struct("shard", "blob")).alias(name))  # a row for each shard at most
     told = blocks.join(gather(shared, "told"), "block", "left").repartition(tasks, "block")
-    sent = told.mapInArrow(Send(shards, hot), table)
-    heard = written(sent.groupBy("shard").applyInPandas(sort_shard, table), "repeats")
+    sent = told.mapInArrow(Send(shards, hot), table).repartition(shards, "shard").sortWithinPartitions("shard")
+    heard = written(sent.mapInArrow(SortShards(new_path(spark, "sorts"), memory), table), "repeats")
     ready = blocks.join(gather(shared, "told"), "block", "left").join(gather(heard, "heard"), "block", "left").repartition(tasks, "block")
     return ready.mapInArrow(Finish(shards, hot, texts), RESULT + (", kept binary" if texts else ""))

@@ -186,41 +186,103 @@ def brute_repeats(docs):
     return out
 
 
-def test_suffix_array():
+def suffixes_of(symbols, folder, memory):
+    store = suffix.Store(f"file://{folder}", memory)
+    text = suffix.Text(store, np.uint16)
+    for at in range(0, len(symbols), 1000):
+        text.append(symbols[at : at + 1000])
+    order, common = [np.zeros(0, int)], [np.zeros(0, int)]
+    for a, b in suffix.descending(text.close()):
+        order.append(a)
+        common.append(b)
+    text.drop()
+    assert store.held == 0
+    store.clear()
+    return np.concatenate(order), np.concatenate(common), store.spilled
+
+
+def test_suffixes_and_common_prefixes(tmp_path):
     rng = np.random.default_rng(0)
-    for trial in range(120):
-        x = rng.integers(0, rng.integers(1, 5), rng.integers(1, 150))
-        x = np.tile(x, 3) if trial % 3 == 0 else x
-        order, common = suffix.suffix_array(x, 64 if trial % 5 == 0 else 1 << 20)
-        t = [tuple(x[i : i + suffix.DEPTH]) for i in order]
-        assert sorted(order.tolist()) == list(range(len(x)))
-        assert t == sorted(t)
+    for trial in range(200):
+        x = rng.integers(1, rng.integers(2, 6) + 1, rng.integers(0, 150))
+        x = np.tile(x, 3) if trial % 3 == 0 else np.repeat(x, rng.integers(1, 9)) if trial % 7 == 0 else x
+        order, common, _ = suffixes_of(x, tmp_path, (0, 300, 2_000, 1 << 20)[trial % 4])
+        t = x.tolist()
+        assert order.tolist() == sorted(range(len(x)), key=lambda i: t[i:])[::-1]
         for i in range(1, len(t)):
-            k = next((k for k, (a, b) in enumerate(zip(t[i], t[i - 1])) if a != b), min(len(t[i]), len(t[i - 1])))
-            assert min(k, 50) == min(common[i], 50)
+            a, b = t[order[i] :], t[order[i - 1] :]
+            assert common[i] == next((k for k, (p, q) in enumerate(zip(a, b)) if p != q or p == suffix.GAP), min(len(a), len(b)))
 
 
-def test_suffix_dedup(spark, odd_docs, no_docs, monkeypatch):
+def test_sorts_beyond_memory_go_to_disk(tmp_path):
+    rng = np.random.default_rng(1)
+    strings = [rng.integers(2, 20, 60) for _ in range(300)]
+    x = np.concatenate([np.append(strings[rng.integers(300)], suffix.GAP) for _ in range(1_000)])
+    order, _, spilled = suffixes_of(x, tmp_path, 1 << 16)
+    same, _, none = suffixes_of(x, tmp_path, 1 << 28)
+    assert spilled > 10 * len(x) > 1 << 16 and none == 0 and order.tolist() == same.tolist()
+    t = x.tobytes()
+    assert all(x[a : a + 200].tolist() >= x[b : b + 200].tolist() for a, b in zip(order[:-1], order[1:])) and len(set(order.tolist())) == len(x) and t
+    assert list(tmp_path.iterdir()) == []
+
+
+@pytest.mark.parametrize("shard_bytes,piece_bytes,memory", [(suffix_dedup.SHARD_BYTES, suffix_dedup.PIECE_BYTES, None), (20_000, 3_000, 30_000), (1 << 30, 5_000, 100_000)])
+def test_suffix_dedup(spark, odd_docs, no_docs, monkeypatch, shard_bytes, piece_bytes, memory):
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     key = lambda r: (str(r[0]), *r[1:])
-    for shard_bytes, sort_bytes in ((suffix_dedup.SHARD_BYTES, suffix_dedup.SORT_BYTES), (20_000, 3_000)):
-        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)
-        monkeypatch.setattr(suffix_dedup, "SORT_BYTES", sort_bytes)
-        assert sorted(rows(suffix_dedup.remove_repeats(odd_docs), *names), key=key) == sorted(brute_repeats(rows(odd_docs, "doc_id", "text")), key=key)
-    assert rows(suffix_dedup.remove_repeats(no_docs), "*") == []
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", piece_bytes)
+    assert sorted(rows(suffix_dedup.remove_repeats(odd_docs, memory=memory), *names), key=key) == sorted(brute_repeats(rows(odd_docs, "doc_id", "text")), key=key)
     rng = random.Random(4)
     parts = [words(rng.randint(3, 14), i) for i in range(12)] + ["ab" * 40, "z" * 90, "é" * 30]
     docs = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))) for i in range(80)]
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), texts=True)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), texts=True, memory=memory)
     assert sorted(rows(got, *names)) == sorted(brute_repeats(docs))
     assert all(hashlib.sha256(k).hexdigest() == h for k, h in rows(got, "kept", "kept_sha256"))
+    if memory is None:
+        assert rows(suffix_dedup.remove_repeats(no_docs), "*") == []
+
+
+def test_a_shard_larger_than_memory(tmp_path):
+    """All of a shard's pieces go through one sort, which spills, and every window learns its smallest id."""
+    rng = random.Random(8)
+    passages = [words(25, i)[:84].encode() for i in range(40)]
+    told, windows = [], {}
+    for block in range(30):
+        own = [(rng.randrange(1000), rng.choice(passages)[rng.randint(0, 20) :][: rng.randint(50, 84)]) for _ in range(60)]
+        for d, t in own:
+            for i in range(len(t) - 49):
+                windows[t[i : i + 50]] = min(windows.get(t[i : i + 50], 1000), d)
+        told.append((block, own))
+    shard = suffix_dedup.Shard(7, f"file://{tmp_path}", 50_000)
+    for at in range(0, 30, 5):
+        some = told[at : at + 5]
+        shard.add([(b, suffix_dedup.packed(np.zeros(60, "<u8"), np.array([d for d, _ in own], "<i8"), np.array([len(t) for _, t in own], "u1"), np.frombuffer(b"".join(t for _, t in own), "u1"))) for b, own in some], False)
+    text = dict(told)
+    heard = {}
+    for number, block, blob in shard.rows():
+        assert number == 7
+        for seg, low, high, smallest in zip(*(a.tolist() for a in suffix_dedup.unpacked(blob, "<i4", "u1", "u1", "<i8"))):
+            t = text[block][seg][1]
+            for i in range(low, high + 1):
+                assert heard.setdefault((block, seg, i), smallest) == smallest == windows[t[i : i + 50]]
+    assert len(heard) == sum(len(t) - 49 for _, own in told for _, t in own)
+    assert shard.store.spilled > 5 * 50_000
+
+
+def test_equal_hashes_are_compared(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "string_hashes", lambda text, start, size: np.zeros(len(start), np.uint64))
+    text = np.frombuffer(b"aaabbbaaacc", np.uint8)
+    order, begin, stop = suffix_dedup.distinct(text, np.array([0, 3, 6, 9]), np.array([3, 3, 3, 2]), np.zeros(4, np.uint64), np.arange(4))
+    groups = [[bytes(text[s : s + 3]) for s in np.array([0, 3, 6, 9])[order[a:b]]] for a, b in zip(begin, stop)]
+    assert all(len(set(g)) == 1 for g in groups) and sum(map(len, groups)) == 4
 
 
 def test_suffix_dedup_splits_hot_anchors(spark, tmp_path, monkeypatch):
     import pandas as pd
     import pyarrow as pa
 
-    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 3_000)
+    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", 35)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 20_000)
     passage = words(14, 77)
     docs = [(i, words(12, 200 + i) + passage + words(12, 500 + i // 2)) for i in range(150)]
@@ -228,7 +290,7 @@ def test_suffix_dedup_splits_hot_anchors(spark, tmp_path, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs]})
     path = next(suffix_dedup.WriteBlocks(f"file://{tmp_path}")(iter([batch])))["path"][0].as_py()
     hot = np.zeros(0, np.uint64)
-    for most in (3_000 // 84, 1 << 40):
+    for most in (35, 1 << 40):
         said = next(suffix_dedup.Anchors(1, hot)(iter([pa.RecordBatch.from_pydict({"block": [1], "path": [path]})])))
         shared = suffix_dedup.shared_anchors(pd.DataFrame(said.to_pydict()), most)
         hot = hot if len(hot) else np.frombuffer(shared["hot"][0], np.uint64)
