@@ -1,7 +1,7 @@
 """Suffix order and common prefixes of a text by external induced sorting.
 
 The text's leftmost S-type (LMS) substrings are sorted by one induction and named; the string of names is sorted in
-the same way, by recursion, until no name repeats; then a second induction sorts all suffixes.  An induction
+the same way, by recursion, until no name repeats or BASE are left; then a second induction sorts all suffixes.  An induction
 reads suffix tuples from a priority queue and puts each one's predecessor back into it, under its own first symbol.  At the
 level of the text a tuple also carries the common prefix with the one before it: one more than the least common prefix among
 the tuples read since.  Those of neighbouring LMS suffixes are read off the text.
@@ -20,6 +20,7 @@ import pyarrow.fs
 
 MEMORY_BYTES = 128 << 20
 ROWS = 1 << 15  # tuples looked at together
+BASE = 1 << 16  # names at the recursion's end
 END, GAP = 0, 1  # the end of a text, below all symbols; the gap between strings, which equals nothing
 _NONE = np.iinfo(np.int64).max
 Arrays = tuple[np.ndarray, ...]
@@ -72,21 +73,22 @@ class Stream:
     """Rows of a few arrays, appended in turn and read once, forward or backward."""
 
     def __init__(self, store: Store):
-        self.store, self.parts, self.wait, self.rows = store, [], [], 0
+        self.store, self.parts, self.wait, self.rows, self.waiting = store, [], [], 0, 0
         self.most = min(ROWS, max(256, store.memory // 256))
 
     def append(self, *arrays: np.ndarray) -> None:
         if not len(arrays[0]):
             return
         self.rows += len(arrays[0])
+        self.waiting += len(arrays[0])
         self.wait.append(arrays)
-        if sum(len(a[0]) for a in self.wait) >= self.most:
+        if self.waiting >= self.most:
             self._flush()
 
     def _flush(self) -> None:
         if self.wait:
             self.parts.append(self.store.keep(tuple(map(np.concatenate, zip(*self.wait)))))
-            self.wait = []
+            self.wait, self.waiting = [], 0
 
     def forward(self) -> Iterator[Arrays]:
         self._flush()
@@ -187,6 +189,9 @@ class Run:
             self.over = self.now is None
         return not self.over
 
+    def left(self) -> int:
+        return len(self.now[0]) - self.at
+
     def last(self, rows: int) -> int:
         """The key that is read last if so many rows are looked at."""
         return int(self.now[0][min(self.at + rows, len(self.now[0])) - 1])
@@ -215,9 +220,9 @@ class Queue:
         self.old: list[Run] = []
         self.young: list[Run] = []
         self.new: list[Arrays] = []
-        self.near, self.size, self.young_rows = None, 0, 0
+        self.near, self.size = None, 0
         self.most = max(1024, store.memory // 8 // 16)  # rows in memory
-        self.rows = min(ROWS, self.most)
+        self.rows = min(ROWS if self.kind == np.uint16 else ROWS // 4, self.most)
 
     def put(self, key: np.ndarray, *others: np.ndarray) -> None:
         rows = (key.astype(self.kind), *others)
@@ -236,24 +241,23 @@ class Queue:
         self.old.append(Run(chunks))
 
     def _settle(self) -> None:
-        """What has come becomes a run; many runs become one, and many rows go to the store."""
+        """What has come becomes a run; runs of like sizes become one, and many rows go to the store."""
         if self.new:
             rows = in_order(tuple(map(np.concatenate, zip(*self.new))))
             self.new, self.size = [], 0
+            self.young = [r for r in self.young if r.ready()]
+            while self.young and self.young[-1].left() <= 2 * len(rows[0]):
+                before = self.young.pop()
+                rows = in_order(tuple(np.concatenate([a[before.at :], b]) for a, b in zip(before.now, rows)))
             self.young.append(Run(iter([rows])))
-            self.young_rows += len(rows[0])
-        if len(self.young) > 32 or self.young_rows > self.most:
-            parts = [tuple(a[r.at :] for a in r.now) for r in self.young if r.ready()]
-            self.young, self.young_rows = [], 0
-            if parts:
-                rows = in_order(tuple(map(np.concatenate, zip(*parts))))
-                if len(rows[0]) > self.most // 2:
-                    out = Stream(self.store)
-                    for a in range(0, len(rows[0]), self.rows):
-                        out.append(*(x[a : a + self.rows] for x in rows))
-                    self.old.append(Run(out.forward()))
-                else:
-                    self.young, self.young_rows = [Run(iter([rows]))], len(rows[0])
+            self.young[-1].ready()
+        if sum(r.left() for r in self.young) > self.most:
+            rows = in_order(tuple(map(np.concatenate, zip(*(tuple(a[r.at :] for a in r.now) for r in self.young)))))
+            out = Stream(self.store)
+            for a in range(0, len(rows[0]), self.rows):
+                out.append(*(x[a : a + self.rows] for x in rows))
+            self.old.append(Run(out.forward()))
+            self.young = []
 
     def head(self) -> Arrays | None:
         """The next rows, at least one if there is any."""
@@ -267,8 +271,13 @@ class Queue:
             each = max(64, self.rows // len(runs))
             upto = min(r.last(each) for r in runs)
             parts = [r.pull(upto, each, "left") for r in runs]
-            if not any(len(p[0]) for p in parts):  # all of one key: from the first run that has it
-                parts = [next(r for r in runs if r.now[0][r.at] == upto).pull(upto, each, "right")]
+            if not any(len(p[0]) for p in parts):  # all of one key: from the first runs that have it
+                left = self.rows
+                for r in runs:
+                    parts.append(r.pull(upto, left, "right") if r.now[0][r.at] == upto else parts[0])
+                    left -= len(parts[-1][0])
+                    if left <= 0 or r.at == len(r.now[0]):  # the next chunk may have more of them
+                        break
             self.near = in_order(tuple(map(np.concatenate, zip(*parts))))
         return self.near
 
@@ -288,12 +297,12 @@ class Text(Stored):
     def close(self) -> Text:
         self.append(np.zeros(1, self.kind))
         super().close()
-        if self.flat is not None and self.kind == np.uint16:
+        if self.flat is not None and self.kind.itemsize < 8:
             padded = np.append(self.flat, np.zeros(3, self.kind))
-            self.flat, self.words = padded[: self.n], np.ndarray(self.n, "<u8", padded, strides=(2,))
+            self.flat, self.words = padded[: self.n], np.ndarray(self.n, "<u8", padded, strides=(self.kind.itemsize,))
         return self
 
-    words = None  # of four symbols at every place, where the text is in memory
+    words = None  # 64 bits of symbols from every place, where the text is in memory
 
     def same(self, a: np.ndarray, b: np.ndarray, most: np.ndarray | None = None, gap: int = -1) -> np.ndarray:
         """Symbols that the suffixes at a and b have in common, up to ``most``; gaps equal nothing."""
@@ -306,9 +315,11 @@ class Text(Stored):
                 if gap >= 0:  # the lowest sign of each that is a gap gets a bit, too
                     left = left ^ np.uint64(gap * 0x0001000100010001)
                     unlike |= (left - np.uint64(0x0001000100010001)) & ~left & np.uint64(0x8000800080008000)
-                first = np.where(unlike & np.uint64(0xFFFFFFFF), np.where(unlike & np.uint64(0xFFFF), 0, 1), np.where(unlike & np.uint64(0xFFFFFFFFFFFF), 2, np.where(unlike, 3, 4)))
+                first = (unlike == 0).astype(np.int64)
+                for bits in range(64 - 8 * self.kind.itemsize, 0, -8 * self.kind.itemsize):
+                    first += unlike & np.uint64((1 << bits) - 1) == 0
                 out[open_] += first
-                open_ = open_[(first == 4) if most is None else (first == 4) & (out[open_] < most[open_])]
+                open_ = open_[(unlike == 0) if most is None else (unlike == 0) & (out[open_] < most[open_])]
             while len(open_):
                 step = np.arange(min(max(1 << 18, len(open_)) // len(open_), 8 if len(open_) > 1024 else 1024))
                 x, y = ((at[open_] + out[open_])[:, None] + step for at in (a, b))
@@ -411,14 +422,15 @@ def _scan(text: Text, queue: Queue, carry: bool, symbol_of: Callable, key_of: Ca
         queue.advance(n)
         rows = np.flatnonzero(put)
         if len(rows):
-            order = rows[np.argsort(symbol[rows], kind="stable")]
-            child = carried[order]
             if carry:
-                child = _common(carried, order, symbol[order], since)
-            queue.put(new_key[order], before[order], child.astype(kind))
+                rows = rows[np.argsort(symbol[rows], kind="stable")]
+                child = _common(carried, rows, symbol[rows], since).astype(kind)
+            else:
+                child = carried[rows]
+            queue.put(new_key[rows], before[rows], child)
         elif carry:
             np.minimum(since, carried.min(), out=since)
-        yield even, suffixes, carried.astype(kind), lms
+        yield even, suffixes, carried.astype(kind) if carry else carried, lms
 
 
 def _common(carried: np.ndarray, order: np.ndarray, symbol: np.ndarray, since: np.ndarray) -> np.ndarray:
@@ -466,11 +478,24 @@ def names_of(text: Text, lms: Stored) -> tuple[Stream, Text | None]:
     return order, reduced.close()
 
 
+def ranks(names: np.ndarray) -> np.ndarray:
+    """Places of all suffixes in order, by doubling: for strings of names that are short at last."""
+    step, rank = 1, np.unique(names, return_inverse=True)[1].astype(np.int64)
+    while rank.max() + 1 < len(rank):
+        after = np.append(rank[step:], np.full(min(step, len(rank)), -1)) + 1
+        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1]
+        step *= 2
+    return rank
+
+
 def descending(text: Text, carry: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(suffix, common prefix with the next larger one) of all suffixes, from the last to the first; the end is left out.
 
     With ``carry`` False there are no common prefixes.  Symbols are from 2 on; GAP stands between strings, and a common prefix ends there.
     """
+    if not carry and text.n <= min(BASE, text.store.memory // 64):
+        yield np.argsort(ranks(text[np.arange(text.n)]))[:0:-1], np.zeros(text.n - 1, np.int32)
+        return
     lms = lms_places(text)
     order, reduced = names_of(text, lms)
     if reduced is not None:
