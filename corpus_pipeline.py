@@ -32,7 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars follows the text."""
-    new = pii.with_surrogates(docs, counts=(found := fresh("n_entities", docs)))
+    new = pii.with_surrogates(docs, pii.surrogate_key(spark), counts=(found := fresh("n_entities", docs)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         new = new.withColumn("n_chars", F.when(F.col(found) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

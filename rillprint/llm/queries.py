@@ -12,7 +12,7 @@ from .decontam import contaminated
 from .frames import write_and_read
 from .neardup import group_documents
 from .packing import pack_documents
-from .pii import with_surrogates
+from .pii import surrogate_key, with_surrogates
 from .quality import classify
 from .secrets import scan_documents
 from .sharding import HashTree, shard_documents
@@ -49,7 +49,7 @@ def op7_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_surrogates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts="n_entities")
+    return with_surrogates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark), counts="n_entities")
 
 
 def op9_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -587,7 +587,7 @@ def test_surrogates_keep_form_and_are_distinct():
 
 
 def test_surrogates_in_documents(spark, odd_docs, no_docs):
-    got = pii.with_surrogates(odd_docs, counts="found")
+    got = pii.with_surrogates(odd_docs, b"k", counts="found")
     assert got.columns == [*odd_docs.columns, "found"]
     before, after = dict(rows(odd_docs, "doc_id", "text")), {d: (t, n) for d, t, n in rows(got, "doc_id", "text", "found")}
     assert {d for d in after if after[d][1]} == {12} and after[12][1] == 4
@@ -595,15 +595,15 @@ def test_surrogates_in_documents(spark, odd_docs, no_docs):
     for secret in ("ann.lee@corp7.org", "555-0187", "4539578763621486", "83.12.7.200"):
         assert secret not in after[12][0]
     assert len(after[12][0].split()) == len(before[12].split())
-    found = pii.entities(odd_docs)
+    found = pii.entities(odd_docs, b"k")
     assert found.count() == 4 and pii.collisions(found).count() == 0
     same = found.select("type", "entity", F.lit("x").alias("surrogate"))
     assert pii.collisions(same.union(same.select("type", F.concat("entity", F.lit("2")), "surrogate"))).count() == 4
-    assert rows(pii.with_surrogates(no_docs), "*") == []
+    assert rows(pii.with_surrogates(no_docs, b"k"), "*") == []
 
 
 def test_surrogates_find_common_forms():
-    own = pii.Surrogates()
+    own = pii.Surrogates(b"surrogates")
     for phone in ("+14155550123", "4155550123", "14155550123", "030 1234567", "0171/1234567", "+49 30 1234567", "(415) 5550123", "03012345678"):
         out, made = own.replace(f"call {phone}, please")
         assert [m[:2] for m in made] == [("phone", phone)] and phone not in out
@@ -624,6 +624,74 @@ def test_surrogates_find_common_forms():
         assert own.replace(plain)[1] == []
 
 
+SAME = [
+    ("card", ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"]),
+    ("phone", ["+1 212 555 0187", "+1-212-555-0187", "(212) 555-0187", "2125550187", "+12125550187", "212.555.0187"]),
+    ("phone", ["+49 30 1234567", "+49301234567", "+49-30-1234567"]),
+    ("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"]),
+    ("ipv6", ["2001:db8::8a2e:370:7334", "2001:0DB8:0:0:0:8A2E:0370:7334"]),
+    ("email", ["ann.lee@corp7.org", "Ann.Lee@CORP7.org"]),
+    ("name", ["Mr. John Smith", "John Smith", "JOHN SMITH", "Dr. John Smith"]),
+]
+
+
+@pytest.mark.parametrize("kind,forms", SAME)
+def test_all_forms_of_an_entity_get_one_surrogate(kind, forms):
+    own = pii.Surrogates(b"k")
+    new = [own.of(kind, f) for f in forms]
+    assert len({pii.canonical(kind, f) for f in forms}) == len({pii.canonical(kind, n) for n in new}) == 1
+    for f, n in zip(forms, new):
+        assert f.lower() != n.lower() and kind in ("ipv6", "name") or re.sub(r"[a-zA-Z]", "a", re.sub(r"\d", "0", f)) == re.sub(r"[a-zA-Z]", "a", re.sub(r"\d", "0", n))
+    out, made = own.replace(" and then, ".join(f for f in forms if kind != "name" or f != "JOHN SMITH"))
+    assert {m[0] for m in made} == {kind} and not any(f in out for f in forms)
+
+
+def test_surrogates_against_a_plain_table(spark):
+    """Every mention is replaced by what one table, filled from the corpus, says; it is one to one, and the rest stays."""
+    rng = random.Random(11)
+    pool = [("phone", f"+1 {a} 555 {b:04d}") for a in (212, 415, 646) for b in range(0, 900, 100)]
+    pool += [("card", f"4{n:015d}") for n in range(40)] + [("ip", f"83.{a}.7.{b}") for a in range(6) for b in range(6)] + [("ssn", f"{a:03d}-12-3456") for a in range(100, 140)]
+    pool += [("email", f"{n}@corp{k}.org") for n in ("ann", "bob", "eve.x") for k in range(9)] + [("iban", f"DE{n:02d}37040044053201{n:04d}") for n in range(30)]
+    pool += [("name", f"{t} {g} {s}") for t, g in (("Mr.", "John"), ("Frau", "Anna")) for s in ("Smith", "Keller", "Strand", "Quux", "Nowak", "Li")]
+    docs = [(i, [rng.choice(pool) for _ in range(6)]) for i in range(200)]
+    df = spark.createDataFrame([(i, " | ".join(f"it is {e} here" for _, e in own)) for i, own in docs], "doc_id long, text string").repartition(4)
+    got, table = dict(rows(pii.with_surrogates(df, b"k"), "doc_id", "text")), {}
+    for i, own in docs:
+        for (kind, old), part in zip(own, got[i].split(" | ")):
+            new = re.fullmatch("it is (.+) here", part)[1]
+            assert table.setdefault((kind, old), new) == new != old and new.count(" ") == old.count(" ")
+            if kind == "card":
+                assert pii.luhn([*map(int, new)]) == pii.luhn([*map(int, old)])
+            if kind == "iban":
+                assert pii.right_iban(new) == pii.right_iban(old)
+    assert len({(k, n) for (k, _), n in table.items()}) == len(table) > 150
+    for a, b in (("Smith", "Mr. John Smith"), ("Keller", "Frau Anna Keller")):
+        assert pii.Surrogates(b"k").of("name", a) == table["name", b].split()[-1]
+
+
+def test_words_of_names_are_permuted():
+    own = pii.Surrogates(b"k")
+    words_ = ["".join(w) for w in itertools.product("BLM", "aeiou", "dt", ["", "h", "a", "er"])]
+    new = [own.of("name", w) for w in words_]
+    assert len(set(new)) == len(words_) and all(a[-1] == b[-1] and a != b for a, b in zip(words_, new))
+    form = lambda w: re.sub("[aeiou]", "a", re.sub("[bcdfghjklmnprstvwz]", "b", w.lower()))
+    for w in ("Smith", "Strand", "Washington", "Schmidt", "Kowalski"):
+        out = own.of("name", w)
+        assert form(out) == form(w) and [k for k, _ in pii.units(out.lower())] == [k for k, _ in pii.units(w.lower())]
+
+
+def test_a_collision_stops_the_operator(spark, odd_docs, monkeypatch):
+    bad = spark.createDataFrame([("card", "1", "9", 1), ("card", "2", "9", 1)], "type string, entity string, surrogate string, mentions long")
+    monkeypatch.setattr(pii, "entities", lambda docs, key: bad)
+    with pytest.raises(ValueError, match="card"):
+        pii.with_surrogates(odd_docs, b"k")
+    with pytest.raises(ValueError, match="n_chars"):
+        pii.with_surrogates(odd_docs, b"k", counts="N_chars", check=False)
+    found = [("a", "1", "2", 1), ("a", "1", "3", 1), ("b", "5", "5", 1), ("c", "1", "2", 1)]
+    got = pii.collisions(spark.createDataFrame(found, bad.schema))
+    assert sorted(rows(got, "type", "form", "number")) == [("a", "1", 2), ("b", "5", 1)]
+
+
 # queries and pipeline
 
 
@@ -648,7 +716,7 @@ def test_pipeline_against_plain_steps(spark):
     items = [strip(t) for _, t in rows(common.read_table(spark, sf, "benchmark"), "item_id", "text")]
     pad = lambda w: " " + " ".join(w) + " "
     kept = {d: t for d, t in kept.items() if not any(pad(i) in pad(strip(t)) for i in items)}
-    own = pii.Surrogates()
+    own = pii.Surrogates(b"surrogates")
     want = {}
     for d, t in kept.items():
         ids = whole_ids([own.replace(t)[0]])[0] + [0]
