@@ -41,7 +41,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with its session sending rows to Python workers in batches of bounded rows and bytes (a longer text alone)."""
+    """df, with its session sending rows to Python workers in batches of bounded rows and bytes (a longer text alone).
+
+    The session keeps the setting, as plans made now are run later.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -53,17 +56,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, and lost executors cost nothing."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove a table of written() that no result depends on any more."""
-    spark = df.sparkSession
-    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+def drop_written(*tables: DataFrame) -> None:
+    """Remove tables of written() that no result depends on any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dealt_join(rows: DataFrame, few: DataFrame, key: str, by: str, salts: int) -> DataFrame:
+    """rows joined to ``few``, which has one row for each key: a key's rows are dealt by a column over ``salts`` groups, few's are copied."""
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    few = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(few, [key, "__salt"]).drop("__salt")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
