@@ -6,9 +6,9 @@ A byte goes if a string of WINDOW bytes that covers it also starts in a document
 2. Every window is given an anchor: the GRAM bytes in it with the least hash (the leftmost of equals).  Equal windows
    have equal anchors, so only windows whose anchor is found in several documents can repeat.  Blocks say which anchors
    they have, once each, and hear which of them are shared: a very frequent one costs an entry for each block.
-   Segments of an anchor that has over HOT_SEGMENTS of them are split into their windows, each of which is
-   its own anchor, and blocks say and hear once more: an edge of boilerplate is dealt over all shards, and
-   only its windows that several documents have are sent.
+   Segments of an anchor that alone would fill a shard are split into their windows, each of which is
+   its own anchor, and blocks say and hear of these windows, too: an edge of boilerplate is dealt over all shards,
+   and only its windows that several documents have are sent.
 3. The stretch of windows that share an anchor is a segment.  Blocks send their distinct segments with shared anchors, each
    with the smallest doc_id that has it, to the shard of the anchor; so all equal windows meet in one shard.
 4. A shard's distinct segments (equal hashes are compared byte by byte) are one text, which external induced sorting
@@ -48,7 +48,7 @@ SHARD_BYTES = 12 << 20  # of text for each shard on the whole
 STEP = 1 << 16  # windows looked at together, in the processor's cache
 MAX_SHARDS = 1 << 16
 PIECE_BYTES = 24 << 20  # of segments that are made distinct at once
-HOT_SEGMENTS = 75_000  # of an anchor; those of more are dealt by window
+HOT_SEGMENTS = SHARD_BYTES // (WINDOW + STARTS - 1)  # of an anchor; those of more are dealt by window
 
 BLOCKS = "block long, path string, bytes long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -122,6 +122,7 @@ class Block:
         if self.nulls.any():  # no id is smaller than none, and none is smaller than an id
             keep = ~self.nulls[self.doc]
             self.first, self.count, self.anchor, self.doc = (x[keep] for x in (self.first, self.count, self.anchor, self.doc))
+        self.hot, self.whole, self.windows = hot, (self.anchor, self.ids[self.doc]), (self.anchor[:0], self.ids[:0])
         if len(hot) and len(self.anchor):
             self.split(hot[np.minimum(np.searchsorted(hot, self.anchor), len(hot) - 1)] == self.anchor)
 
@@ -133,6 +134,7 @@ class Block:
         self.first = self.first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         self.count, self.anchor = np.where(some, 1, self.count[which]), self.anchor[which]
         self.anchor[some] = window_hashes(self.text, self.first[some])
+        self.windows = self.anchor[some], self.ids[self.doc[some]]
 
 
 def window_hashes(text: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -233,7 +235,10 @@ def distinct(text: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndar
 
 
 class Anchors:
-    """Blocks to (shard, block, blob): the sorted anchors of a shard that a block has, which several of its documents have, and segments of each."""
+    """Blocks to (shard, block, blob): the sorted anchors of a shard that a block has, which several of its documents have, and segments of each.
+
+    Where there are hot anchors, these are the windows of their segments alone.
+    """
 
     def __init__(self, shards: int, hot: np.ndarray):
         self.shards, self.hot = shards, hot
@@ -241,14 +246,15 @@ class Anchors:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, path in zip(batch["block"].to_pylist(), batch["path"].to_pylist()):
-                own = anchors(Block(path, self.hot), self.shards)
+                block = Block(path, self.hot)
+                own = anchors(block.windows if len(self.hot) else block.whole, self.shards)
                 rows = [(s, number, packed(np.diff(a, prepend=np.uint64(0)), several, n)) for s, a, several, n in own]
                 yield batch_of(rows)
 
 
-def anchors(block: Block, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    order = np.argsort(block.anchor)
-    a, d = block.anchor[order], block.ids[block.doc[order]]
+def anchors(own: tuple[np.ndarray, np.ndarray], shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    order = np.argsort(own[0])
+    a, d = own[0][order], own[1][order]
     begin, stop = stretches(a)
     if not len(begin):
         return
@@ -282,14 +288,20 @@ def shared_anchors(group: pd.DataFrame, most: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["shard", "block", "blob", "hot", "hot_segments"])
 
 
+def shared_of(own: tuple[np.ndarray, np.ndarray], told: list[dict] | None, shards: int) -> np.ndarray:
+    """Those anchors that a block has heard are shared."""
+    bits = {t["shard"]: t["blob"] for t in told or ()}
+    found = [a[np.unpackbits(np.frombuffer(bits[s], np.uint8), count=len(a)).astype(bool)] for s, a, *_ in anchors(own, shards) if s in bits]
+    return np.concatenate([*found, own[0][:0]])
+
+
 class Distinct:
-    """A block's segments with shared anchors by shard, equal ones once."""
+    """A block's segments with shared anchors by shard, equal ones once; ``told`` is of its anchors and then of split windows."""
 
-    def __init__(self, block: Block, told: list[tuple[int, bytes]], shards: int):
-        told_by = dict(told)
-        shared = [a[np.unpackbits(np.frombuffer(told_by[s], np.uint8), count=len(a)).astype(bool)] for s, a, *_ in anchors(block, shards) if s in told_by]
-        if shared:
-            shared = np.concatenate(shared)  # in order, as shards are
+    def __init__(self, block: Block, told: list[dict] | None, again: list[dict] | None, first_shards: int, shards: int):
+        shared = shared_of(block.whole, told, first_shards)
+        shared = np.sort(np.concatenate([shared[~np.isin(shared, block.hot)], shared_of(block.windows, again, shards)]))
+        if len(shared):
             good = shared[np.minimum(np.searchsorted(shared, block.anchor), len(shared) - 1)] == block.anchor
         else:
             good = np.zeros(len(block.anchor), bool)
@@ -333,14 +345,14 @@ def strings(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 class Send:
     """Blocks with what they heard of their anchors to (shard, block, blob) of segments."""
 
-    def __init__(self, shards: int, hot: np.ndarray):
-        self.shards, self.hot = shards, hot
+    def __init__(self, first_shards: int, shards: int, hot: np.ndarray):
+        self.first_shards, self.shards, self.hot = first_shards, shards, hot
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, path, told in zip(batch["block"].to_pylist(), batch["path"].to_pylist(), batch["told"].to_pylist()):
+            for number, path, told, again in zip(*(batch[c].to_pylist() for c in ("block", "path", "told", "again"))):
                 block = Block(path, self.hot)
-                own = Distinct(block, [(t["shard"], t["blob"]) for t in told or ()], self.shards)
+                own = Distinct(block, told, again, self.first_shards, self.shards)
                 rows = []
                 for s in np.unique(own.shard).tolist():
                     some = own.of(s)
@@ -496,16 +508,16 @@ def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 class Finish:
     """Blocks with what they heard of their segments to RESULT, and the texts left where they are asked for."""
 
-    def __init__(self, shards: int, hot: np.ndarray, texts: bool = False):
-        self.shards, self.hot, self.texts = shards, hot, texts
+    def __init__(self, first_shards: int, shards: int, hot: np.ndarray, texts: bool = False):
+        self.first_shards, self.shards, self.hot, self.texts = first_shards, shards, hot, texts
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, told, heard in zip(batch["path"].to_pylist(), batch["told"].to_pylist(), batch["heard"].to_pylist()):
+            for path, told, again, heard in zip(*(batch[c].to_pylist() for c in ("path", "told", "again", "heard"))):
                 block = Block(path, self.hot)
                 change = np.zeros(len(block.text) + 1, np.int64)
                 if heard:
-                    own = Distinct(block, [(t["shard"], t["blob"]) for t in told or ()], self.shards)
+                    own = Distinct(block, told, again, self.first_shards, self.shards)
                     for s in heard:
                         seg, low, high, smallest = unpacked(s["blob"], "<i4", "u1", "u1", "<i8")
                         which, place = own.places(own.of(s["shard"]).start + seg.astype(np.int64))
@@ -552,20 +564,22 @@ def remove_repeats(docs: DataFrame, texts: bool = False, memory: int | None = No
     table = "shard long, block long, blob binary"
     spread = blocks.repartition(tasks, "block")  # said outright, else so few bytes of paths go to one task
 
-    def say(hot: np.ndarray) -> DataFrame:
+    def say(hot: np.ndarray, shards: int) -> DataFrame:
         said = spread.mapInArrow(Anchors(shards, hot), table)
         return written(said.groupBy("shard").applyInPandas(lambda group: shared_anchors(group, HOT_SEGMENTS), table + ", hot binary, hot_segments long"), "shared-anchors")
 
-    shared = say(np.zeros(0, np.uint64))
+    gather = lambda df, name: df.groupBy("block").agg(F.collect_list(F.struct("shard", "blob")).alias(name))  # a row for each shard at most
+    first_shards, shared = shards, say(np.zeros(0, np.uint64), shards)
+    told = blocks.join(gather(shared, "told"), "block", "left")
     found = shared.where("hot IS NOT NULL").select("hot", "hot_segments").collect()  # 8 bytes for every HOT_SEGMENTS segments at most
     hot = np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in found), np.uint64))
     if len(hot):
         # a segment has STARTS / 2 windows on average, and a text one segment for as many bytes
         shards = min(MAX_SHARDS, 1 + (total + sum(r[1] for r in found) * (STARTS // 2) ** 2) // SHARD_BYTES)
-        shared = say(hot)
-    gather = lambda df, name: df.groupBy("block").agg(F.collect_list(F.struct("shard", "blob")).alias(name))  # a row for each shard at most
-    told = blocks.join(gather(shared, "told"), "block", "left").repartition(tasks, "block")
-    sent = told.mapInArrow(Send(shards, hot), table).repartition(shards, "shard").sortWithinPartitions("shard")
+        told = told.join(gather(say(hot, shards), "again"), "block", "left")
+    else:
+        told = told.withColumn("again", F.lit(None).cast("array<struct<shard: bigint, blob: binary>>"))
+    sent = told.repartition(tasks, "block").mapInArrow(Send(first_shards, shards, hot), table).repartition(shards, "shard").sortWithinPartitions("shard")
     heard = written(sent.mapInArrow(SortShards(new_path(spark, "sorts"), memory), table), "repeats")
-    ready = blocks.join(gather(shared, "told"), "block", "left").join(gather(heard, "heard"), "block", "left").repartition(tasks, "block")
-    return ready.mapInArrow(Finish(shards, hot, texts), RESULT + (", kept binary" if texts else ""))
+    ready = told.join(gather(heard, "heard"), "block", "left").repartition(tasks, "block")
+    return ready.mapInArrow(Finish(first_shards, shards, hot, texts), RESULT + (", kept binary" if texts else ""))

@@ -289,13 +289,14 @@ def test_suffix_dedup_splits_hot_anchors(spark, tmp_path, monkeypatch):
     # those of one anchor are few enough, also at the edges of the common passage
     batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs]})
     path = next(suffix_dedup.WriteBlocks(f"file://{tmp_path}")(iter([batch])))["path"][0].as_py()
-    hot = np.zeros(0, np.uint64)
+    hot, heard = np.zeros(0, np.uint64), []
     for most in (35, 1 << 40):
         said = next(suffix_dedup.Anchors(1, hot)(iter([pa.RecordBatch.from_pydict({"block": [1], "path": [path]})])))
         shared = suffix_dedup.shared_anchors(pd.DataFrame(said.to_pydict()), most)
+        heard.append([{"shard": 0, "blob": shared["blob"][0]}])
         hot = hot if len(hot) else np.frombuffer(shared["hot"][0], np.uint64)
     assert len(hot) >= 2
-    own = suffix_dedup.Distinct(suffix_dedup.Block(path, hot), [(0, shared["blob"][0])], 1)
+    own = suffix_dedup.Distinct(suffix_dedup.Block(path, np.sort(hot)), *heard, 1, 1)
     assert max(int(own.size[a:b].sum()) for a, b in zip(*suffix_dedup.stretches(own.key))) <= 3_000
     got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
     assert sorted(rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == sorted(brute_repeats(docs))
