@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import small_batches
+from .common import small_batches, written
 
 KEY_SETTING = "spark.rillprint.surrogates.key"
 ROUNDS = 6
@@ -404,7 +404,7 @@ def with_surrogates(docs: DataFrame, key: bytes, counts: str | None = None, chec
     """
     if counts and counts.lower() in (c.lower() for c in docs.columns):
         raise ValueError(f"documents have a column {counts}")
-    if check and (bad := collisions(entities(docs, key)).limit(3).collect()):
+    if check and (bad := collisions(written(entities(docs, key), "entities")).limit(3).collect()):
         raise ValueError(f"surrogates collide: {[(r['type'], r['number']) for r in bad]}")
     schema = StructType([*docs.schema.fields, *([StructField(counts, LongType())] if counts else [])])
     return small_batches(docs).mapInArrow(Replace(key, counts), schema)

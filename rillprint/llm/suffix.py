@@ -20,7 +20,7 @@ import pyarrow.fs
 
 MEMORY_BYTES = 128 << 20
 ROWS = 1 << 15  # tuples looked at together
-BASE = 1 << 16  # names at the recursion's end
+BASE = 1 << 20  # names at the recursion's end
 END, GAP = 0, 1  # the end of a text, below all symbols; the gap between strings, which equals nothing
 _NONE = np.iinfo(np.int64).max
 Arrays = tuple[np.ndarray, ...]
