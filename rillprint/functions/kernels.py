@@ -126,3 +126,8 @@ def as_binary(h: int) -> bytes:
 
 def column_value(h: int, spec: HashSpec) -> int | bytes:
     return h if spec.is_long else as_binary(h)
+
+
+def value_of(h: int | bytes) -> int:
+    """The number in a hash column's value."""
+    return h if isinstance(h, int) else int.from_bytes(h, "big")

@@ -17,6 +17,7 @@ from ..functions.exprs import compression_ratio, printable
 from ..operators.cdc import ChunkSpec, cut_points
 from ..operators.cdh import METHODS, WINDOWS, cdh
 from ..operators.lz77 import decode, encode
+from ..operators.monoid import ordered_concat
 from ..sources.formats import extract
 from ..spec import HashSpec
 
@@ -175,6 +176,32 @@ def chunk_objects(objects: DataFrame, sizes: ChunkSpec = ChunkSpec(), spec: Hash
     return _apply(objects, one, fields, f"idx int, offset long, size long, hash {ddl}" + (", content binary" if content else ""), nulls=False)
 
 
+def chunk_stats(chunks: DataFrame) -> DataFrame:
+    """object_id, num_chunks, total_bytes and avg_size (to one place) of chunk rows."""
+    sums = chunks.groupBy("object_id").agg(F.count(F.lit(1)).alias("num_chunks"), F.sum("size").alias("total_bytes"))
+    return sums.withColumn("avg_size", F.round(F.col("total_bytes") / F.col("num_chunks"), 1))
+
+
+def hash_chunked(objects: DataFrame, spec: HashSpec = HashSpec(), sizes: ChunkSpec = ChunkSpec()) -> DataFrame:
+    """object_id, length and hash of objects by way of the chunks of their content: a sum over the chunks' hashes for each base.
+
+    Compressed objects are decoded first.  Empty contents have the hash 0, null ones none.
+    """
+    if not spec.is_long:
+        raise ValueError("chunks are joined under primes up to 2**61 - 1")
+    packed = objects.where(F.col("format") != "raw")
+    plain = objects.where(F.col("format") == "raw").select(F.col("object_id").cast("string"), "content", "format")
+    contents = plain.unionByName(decode_objects(packed).withColumn("format", F.lit("raw")))
+    chunks = chunk_objects(contents, sizes, spec)
+    out = contents.select("object_id", F.octet_length("content").cast("long").alias("length"))
+    for i, base in enumerate(spec.bases):
+        own = chunks.select("object_id", "idx", F.col("size").alias("length"), F.col("hash")[i].alias("h"))
+        joined = ordered_concat(own, ["object_id"], "idx", base=base, prime=spec.prime)
+        out = out.join(joined.select("object_id", F.col("h").alias(f"h{i}")), "object_id", "left")
+    hashes = F.array(*[F.coalesce(f"h{i}", F.lit(0).cast("long")) for i in range(spec.k)])
+    return out.select("object_id", "length", F.when(F.col("length").isNotNull(), hashes).alias("hash"))
+
+
 def integrity(objects: DataFrame, spec: HashSpec = HashSpec((131, 257)), full: bool = False, digest: str = "sha256") -> DataFrame:
     """object_id, cdh (hashes), digest and mode: fast is the hashes alone, full has a digest (sha256 or blake3) of the decoded bytes too."""
     if digest not in ("sha256", "blake3"):

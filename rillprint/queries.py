@@ -151,6 +151,20 @@ def substr_hash(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", E.substring_hash(upto(a), upto(a + n), n).alias("h"))
 
 
+@query(
+    f"SELECT a.conv_id, a.turn, {h_sql('hex(encode(a.text || b.text))')} AS joined, {h_sql('hex(encode(a.text || b.text))', 257)} AS joined2, {h_sql('repeat(hex(encode(a.text)), 3)')} AS thrice, "
+    f"{h_sql('repeat(hex(encode(a.text)), 3)', 257)} AS thrice2, 0::BIGINT AS zero FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+)
+def multi_operations(spark, sf_dir):
+    """Concatenation and repetition of pairs of hashes, and the hash of nothing."""
+    h = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").cast("long").alias("n"), E.multi_hash(raw(), TWO).alias("h"))
+    b = h.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("n").alias("bn"), F.col("h").alias("bh"))
+    both = h.join(b, ["conv_id", "turn"])
+    joined = E.each(E.hash_concat, F.col("h"), F.col("bh"), spec=TWO, len_b=F.col("bn"))
+    thrice = E.each(E.hash_repeat, F.col("h"), spec=TWO, length=F.col("n"), q=3)
+    return both.select("conv_id", "turn", *[x[i].alias(name + ("2" if i else "")) for name, x in (("joined", joined), ("thrice", thrice)) for i in range(2)], F.lit(TWO.zero[1]).cast("long").alias("zero"))
+
+
 @query()
 def poly_hash_m127(spark, sf_dir):
     return P.hash_raw(documents(spark, sf_dir), HashSpec((131, 257), M127))
@@ -207,9 +221,14 @@ def rope_split(spark, sf_dir):
     return left.join(right, "conv_id", "full").select("conv_id", zero("h_left"), zero("h_right"))
 
 
-@query("SELECT conv_id, 0::BIGINT AS bad_segments, 0::BIGINT AS repeated_idx FROM conversations WHERE false")
+_FAULTS = "SELECT conv_id, turn - CASE WHEN turn % 5 = 4 THEN 1 ELSE 0 END AS idx, coalesce(turn % 4 = 0 OR text = '' OR turn % 7 = 3, true) AS bad FROM conversations"
+
+
+@query(f"SELECT conv_id, count(*) FILTER (bad) AS bad_segments, count(idx) - count(DISTINCT idx) AS repeated_idx FROM ({_FAULTS}) GROUP BY conv_id HAVING count(*) FILTER (bad) > 0 OR count(idx) > count(DISTINCT idx)")
 def rope_validate(spark, sf_dir):
-    s = segments(spark, sf_dir).withColumn("length", F.octet_length("bytes") * F.col("reps"))
+    """Planted faults: no repeats at every fourth turn, a wrong length at some, an idx given twice at every fifth."""
+    s = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") - (F.col("turn") % 5 == 4).cast("int")).alias("idx"), "turn", raw().alias("bytes"), (F.col("turn") % 4).alias("reps"))
+    s = s.withColumn("length", F.octet_length("bytes") * F.col("reps") + (F.col("turn") % 7 == 3).cast("int")).drop("turn")
     return monoid.validate_segments(s, ["conv_id"])
 
 
@@ -294,6 +313,49 @@ for _fmt in FORMATS:
     query(TURN_HASHES.replace(" FROM", f", {h_sql(hex_of(), 257)} AS h2 FROM"), f"cdh_multi_{_fmt}")(_cdh_multi_query(_fmt))
 
 
+def _multi_sliding(fmt: str) -> Query:
+    def run(spark, sf_dir):
+        h = P.hash_objects(S.encode_objects(turns(spark, sf_dir), fmt), TWO, method="sliding")
+        return h.select("object_id", "length", F.col("hash")[0].alias("h"), F.col("hash")[1].alias("h2"))
+
+    return run
+
+
+for _fmt in FORMATS:
+    query(TURN_HASHES.replace(" FROM", f", {h_sql(hex_of(), 257)} AS h2 FROM"), f"cdh_multi_sliding_{_fmt}")(_multi_sliding(_fmt))
+
+
+@query(DOCUMENT_HASHES)
+def cdh_documents_stored(spark, sf_dir):
+    """Stored blocks alone."""
+    return flat(P.hash_objects(S.encode_objects(documents(spark, sf_dir), "deflate", 0)))
+
+
+@query(DOCUMENT_HASHES.replace(" FROM", f", {h_sql(hex_of(), 257)} AS h2 FROM"))
+def hash_by_chunks(spark, sf_dir):
+    h = P.hash_chunked(documents(spark, sf_dir), TWO, CHUNKS)
+    return h.select("object_id", "length", F.col("hash")[0].alias("h"), F.col("hash")[1].alias("h2"))
+
+
+@query("SELECT conv_id || '-' || turn || '!content' AS object_id, octet_length(encode(text))::BIGINT AS length, " + h_sql(hex_of()) + " AS h FROM conversations")
+def zip64_entry_hashes(spark, sf_dir):
+    """Archives whose sizes and places stand in ZIP64 records."""
+    archives = turns(spark, sf_dir).select("object_id", "content").mapInArrow(S.zip64_archives, "object_id string, content binary, format string")
+    return flat(P.hash_objects(S.entry_objects(archives)))
+
+
+@query("SELECT conv_id || '-' || turn AS object_id, a.fmt AS fmt_a, b.fmt AS fmt_b, NOT ((a.fmt = 'zstd' OR b.fmt = 'zstd') AND turn % 3 = 0) AS match FROM conversations, (VALUES ('raw'), ('gzip'), ('zstd')) a(fmt), (VALUES ('raw'), ('gzip'), ('zstd')) b(fmt) WHERE a.fmt < b.fmt")
+def cross_format_mismatch(spark, sf_dir):
+    """The Zstandard form of every third turn holds other content."""
+    t = turns(spark, sf_dir)
+    wrong = t.withColumn("content", F.when(F.split("object_id", "-")[1].cast("int") % 3 == 0, F.concat("content", F.lit(b"x"))).otherwise(F.col("content")))
+    objects = t.unionByName(S.encode_objects(t, "gzip")).unionByName(S.encode_objects(wrong, "zstd"))
+    h = P.hash_objects(objects.withColumn("object_id", F.concat_ws("/", "object_id", "format")), TWO)
+    split = F.split("object_id", "/")
+    found = verify.cross_format_matrix(h.select(split[0].alias("content_id"), split[1].alias("format"), "length", "hash"))
+    return found.withColumnRenamed("content_id", "object_id")
+
+
 @query(DOCUMENT_HASHES)
 def cdh_documents_zstd(spark, sf_dir):
     return flat(P.hash_objects(S.encode_objects(documents(spark, sf_dir), "zstd")))
@@ -360,10 +422,76 @@ def lz77_encode_decode(spark, sf_dir):
     return monoid.ordered_concat(one, ["object_id"], "pos")
 
 
-@query("SELECT item_id::VARCHAR AS object_id, 0::BIGINT AS seq FROM benchmark WHERE false")
+def made_tokens(spark, sf_dir) -> DataFrame:
+    """Four tokens for each document, good and bad ones: a literal, a reference, a reference back by one, a literal."""
+    i = F.col("doc_id")
+    token = lambda seq, kind, byte, distance, length: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), byte.cast("short").alias("byte"), distance.cast("long").alias("distance"), length.cast("long").alias("length"))
+    none = F.lit(None)
+    four = F.array(
+        token(0, "L", i % 300, none, none),
+        token(1, "R", none, i % 4, i % 3),
+        token(2, "R", none, F.lit(1), i % 5 + 1),
+        token(3, "L", F.when(i % 7 > 0, i % 256), none, none),
+    )
+    return table(spark, sf_dir, "documents").select(i.cast("string").alias("object_id"), F.explode(four).alias("t")).select("object_id", "t.*")
+
+
+@query(
+    "SELECT doc_id::VARCHAR AS object_id, s.seq::BIGINT AS seq FROM documents, (VALUES (0), (1), (2), (3)) s(seq) "
+    "WHERE CASE s.seq WHEN 0 THEN doc_id % 300 > 255 WHEN 1 THEN doc_id % 4 <> 1 OR doc_id % 3 = 0 WHEN 3 THEN doc_id % 7 = 0 ELSE false END"
+)
 def invalid_tokens(spark, sf_dir):
-    parsed = P.extract_tokens(S.encode_objects(S.text_objects(table(spark, sf_dir, "benchmark"), "item_id", "text"), "deflate"))
-    return tokens.invalid(parsed).select("object_id", "seq")
+    return tokens.invalid(made_tokens(spark, sf_dir)).select("object_id", "seq")
+
+
+@query(
+    'SELECT doc_id::VARCHAR AS object_id, 4::BIGINT AS total_tokens, 2::BIGINT AS literals, 2::BIGINT AS "references", '
+    "((doc_id % 4 < doc_id % 3)::BIGINT + (1 < doc_id % 5 + 1)::BIGINT) AS overlapping_refs, (2 + doc_id % 3 + doc_id % 5 + 1)::BIGINT AS decoded_size FROM documents"
+)
+def token_stats_relational(spark, sf_dir):
+    return tokens.stats(made_tokens(spark, sf_dir))
+
+
+@query(
+    'SELECT doc_id::VARCHAR AS object_id, n AS total_tokens, n AS literals, CASE WHEN n IS NOT NULL THEN 0::BIGINT END AS "references", '
+    "CASE WHEN n IS NOT NULL THEN 0::BIGINT END AS overlapping_refs, n AS decoded_size FROM (SELECT doc_id, octet_length(encode(text))::BIGINT AS n FROM documents)"
+)
+def token_stats_stored(spark, sf_dir):
+    """Stored blocks have a literal for each byte."""
+    return P.token_stats(S.encode_objects(documents(spark, sf_dir), "deflate", 0))
+
+
+def runs(spark, sf_dir) -> DataFrame:
+    """A letter and 1 + 258 * k times another, for each document: two literals and k references back by one of the longest length."""
+    k = (F.col("doc_id") % 40 + 1).cast("int")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("object_id"), F.concat(F.lit("b"), F.repeat(F.lit("a"), 258 * k + 1)).cast("binary").alias("content"), F.lit("raw").alias("format"))
+
+
+@query('SELECT doc_id::VARCHAR AS object_id, 2 + k AS total_tokens, 2::BIGINT AS literals, k AS "references", k AS overlapping_refs, 2 + 258 * k AS decoded_size FROM (SELECT doc_id, (doc_id % 40 + 1)::BIGINT AS k FROM documents)')
+def token_stats_runs(spark, sf_dir):
+    return P.token_stats(S.encode_objects(runs(spark, sf_dir), "deflate"))
+
+
+@query(
+    "SELECT doc_id::VARCHAR AS object_id, seq, CASE WHEN seq < 2 THEN 'L' ELSE 'R' END AS kind, CASE WHEN seq < 2 THEN (98 - seq)::SMALLINT END AS byte, CASE WHEN seq > 1 THEN 1::BIGINT END AS distance, "
+    "CASE WHEN seq > 1 THEN 258::BIGINT END AS length, CASE WHEN seq < 2 THEN chr((98 - seq)::INT) END AS char FROM documents, range(4) t(seq) WHERE seq <= doc_id % 40 + 2"
+)
+def inspect_runs(spark, sf_dir):
+    return P.inspect(S.encode_objects(runs(spark, sf_dir), "gzip"), 4)
+
+
+@query(
+    "SELECT conv_id || '-' || turn AS object_id, i - 1 AS seq, 'L' AS kind, b::SMALLINT AS byte, NULL::BIGINT AS distance, NULL::BIGINT AS length, CASE WHEN b BETWEEN 32 AND 126 THEN chr(b) END AS char "
+    "FROM (SELECT conv_id, turn, i, ('0x' || d[i])::INT AS b FROM (SELECT conv_id, turn, regexp_extract_all(hex(encode(text)), '..') AS d FROM conversations), range(1, 6) t(i) WHERE i <= len(d))"
+)
+def inspect_stored(spark, sf_dir):
+    return P.inspect(S.encode_objects(turns(spark, sf_dir), "deflate", 0), 5)
+
+
+@query("SELECT conv_id || '-' || turn AS object_id, n + 23 AS file_size, 'gzip' AS format, n AS decoded_size, round_even(n::DOUBLE / (n + 23), 2) AS compression_ratio FROM (SELECT conv_id, turn, octet_length(encode(text))::BIGINT AS n FROM conversations)")
+def info_stored(spark, sf_dir):
+    """A stored gzip file has 23 bytes more than its content: header, one block's head, checksum and size."""
+    return P.info(S.encode_objects(turns(spark, sf_dir), "gzip", 0)).select("object_id", "file_size", "format", "decoded_size", "compression_ratio")
 
 
 @query()
@@ -436,9 +564,9 @@ def cdc_shared_chunks(spark, sf_dir):
     return verify.shared_chunks(a, b).select("size", F.col("hash")[0].alias("h"))
 
 
-@query(_CUTS + "SELECT doc_id::VARCHAR AS object_id, count(*) AS num_chunks, sum(size)::BIGINT AS total_bytes FROM chunks GROUP BY doc_id")
+@query(_CUTS + "SELECT doc_id::VARCHAR AS object_id, count(*) AS num_chunks, sum(size)::BIGINT AS total_bytes, round(sum(size)::DOUBLE / count(*), 1) AS avg_size FROM chunks GROUP BY doc_id")
 def cdc_chunk_stats(spark, sf_dir):
-    return chunk_table(spark, sf_dir).groupBy("object_id").agg(F.count(F.lit(1)).alias("num_chunks"), F.sum("size").alias("total_bytes"))
+    return P.chunk_stats(chunk_table(spark, sf_dir))
 
 
 # integrity and incremental archives

@@ -19,7 +19,7 @@ ENTRIES = "object_id string, filename string, compression_method int, compressed
 
 
 def read_objects(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """object_id (the path), content and length of all files under a path; a missing path is an error."""
+    """object_id (the path), content and length of all files under a path; a missing path is an error, and Spark leaves out files without bytes."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     return files.select(F.col("path").alias("object_id"), "content", "length")
@@ -64,6 +64,19 @@ def encode(data: bytes, fmt: str, level: int | None = None) -> bytes:
     raise ValueError(f"{fmt} is not a format")
 
 
+def zip64_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(object_id, content) to ZIP archives whose directories have ZIP64 fields and ends, as archives beyond 4 GB do; for checks."""
+    full, limit = 0xFFFFFFFF, zipfile.ZIP64_LIMIT
+    zipfile.ZIP64_LIMIT = -1
+    try:
+        for batch in batches:
+            content = [None if c is None else _zip(c) for c in batch["content"].to_pylist()]
+            assert all(c is None or full.to_bytes(4, "little") in c for c in content)
+            yield pa.RecordBatch.from_arrays([batch["object_id"], pa.array(content, pa.binary()), pa.array(["zip"] * len(content))], ["object_id", "content", "format"])
+    finally:
+        zipfile.ZIP64_LIMIT = limit
+
+
 class _Encode:
     def __init__(self, fmt: str, level: int | None):
         self.fmt, self.level = fmt, level

@@ -205,6 +205,14 @@ def test_blake3():
     # Published hashes of the empty string and of bytes 0, 1, ... 250, 0, ... of 1 and 1024 bytes.
     assert blake3(b"").hex() == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
     assert blake3(b"\0").hex() == "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213"
+    # fixed values: the published vectors of several chunks, over bytes that count up to 250 again and again
+    several = {
+        1024: "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7",
+        1025: "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444",
+        2048: "e776b6028c7cd22a4d0ba182a8bf62205d2ef576467e838ed6f2529b85fba24a",
+        8193: "bab6c09cb8ce8cf459261398d2e7aef35700bf488116ceb94a36d0f5f1b7bc3b",
+    }
+    assert all(blake3(bytes(i % 251 for i in range(n))).hex() == h for n, h in several.items())
     assert len(blake3(bytes(5000))) == 32 and blake3(bytes(5000)) != blake3(bytes(5001))
 
 
@@ -290,3 +298,14 @@ def test_queries_import_without_the_subpackage():
         if "llm" not in f.parts:
             names = [n.module or "" for n in ast.walk(ast.parse(f.read_text())) if isinstance(n, ast.ImportFrom)]
             assert not any("llm" in n for n in names), f
+
+
+def test_hash_by_chunks(spark):
+    data = [("a", b"some words " * 3000, "raw"), ("b", b"", "raw"), ("c", None, "raw"), ("d", S.encode(b"some words " * 3000, "zstd"), "zstd")]
+    df = spark.createDataFrame(data, "object_id string, content binary, format string")
+    spec = HashSpec((131, 257))
+    got = {r["object_id"]: (r["length"], r["hash"]) for r in P.hash_chunked(df, spec).collect()}
+    want = [K.hash_bytes(data[0][1], b, spec.prime) for b in spec.bases]
+    assert got == {"a": (33000, want), "b": (0, [0, 0]), "c": (None, None), "d": (33000, want)}
+    with pytest.raises(ValueError):
+        P.hash_chunked(df, HashSpec((131,), M127))
