@@ -69,13 +69,6 @@ def drop_written(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def dealt_join(rows: DataFrame, few: DataFrame, key: str, by: str, salts: int) -> DataFrame:
-    """rows joined to ``few``, which has one row for each key: a key's rows are dealt by a column over ``salts`` groups, few's are copied."""
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    few = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(few, [key, "__salt"]).drop("__salt")
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,8 +12,9 @@ sets and joined to components.  Where members of a group are then still in diffe
 those members that share one of their rarest shingles are compared as well.  So no link between different
 texts is lost, and a large group of copies costs about as many comparisons as it has members.
 
-Joins in which one key can have most of the rows (a key's smallest member, a component's hub, a shingle) deal those
-rows over SALTS groups.
+Pairs are dealt by both their documents, and a frequent shingle's rows by their number, so that no document or shingle with most of the
+pairs is one task's.  A key's members and a component's links are joined to one row for each key, with rows of 16 bytes: there
+the skew join of adaptive execution splits a hot key.
 
 A pair is missed if no chunk of its signatures has under two errors, or if the quick distance of two sketches is beyond its bound:
 about 3e-7 at a similarity of 0.85, 2e-5 at 0.8, and 1e-9 for the quick distance; less for pairs that are more similar.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dealt_join, drop_written, small_batches, written
+from .common import drop_written, small_batches, written
 
 SHINGLE_WORDS = 5
 CHUNKS, CHUNK_SYMBOLS = 10, 6
@@ -207,9 +208,9 @@ def components(links: DataFrame) -> DataFrame:
         was = tuple(says)
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = dealt_join(both, low, "u", "v", SALTS).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = dealt_join(large, low, "u", "v", SALTS).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         old.append(now)
         now = written(small.where(F.col("u") != F.col("v")).distinct(), "links")
 
@@ -229,7 +230,7 @@ def group_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -
     classes = written(some.groupBy(*same).agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")), "classes")
     keys = classes.select("id", "signature").mapInArrow(index_keys, "key long, id long")
     groups = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members"))
-    shared = written(dealt_join(keys, groups.where(F.col("first") < F.col("last")), "key", "id", SALTS), "shared")
+    shared = written(keys.join(groups.where(F.col("first") < F.col("last")), "key"), "shared")
     brief = written(classes.select("id", "n_shingles", "signature").mapInArrow(slices, "id long, n long, " + ", ".join(f"s{i} long" for i in range(SLICES))), "brief")
     star = shared.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     hopeful = written(near_enough(star, brief, similarity), "pairs")
