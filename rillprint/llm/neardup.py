@@ -158,16 +158,24 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return written(texts.mapInArrow(read_full, "id long, shingles array<long>, " + ", ".join(f"{w} long" for w in MAP)), "shingles")
 
 
-def attached(pairs: DataFrame, table: DataFrame, one: str, other: str) -> DataFrame:
-    """Pairs with the columns that the table has for the id in column ``one``; an id's pairs are dealt by the other one.
+def attached(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Pairs (a, b), a written table, with the columns that the table has for both ids.
 
-    The table is copied for those groups of an id that there are, so an id with one pair costs one row.
+    An id with over OFTEN pairs has them dealt over SALTS groups by the other id, and the table's row is copied for these groups alone.
     """
-    dealt = pairs.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
-    wanted = dealt.select(F.col(one).alias("__id"), F.col("__salt").alias("__group")).distinct()
-    own = table.select(*[F.col(c).alias(f"{one}_{c}") for c in table.columns])
-    copies = wanted.join(own, F.col("__id") == F.col(f"{one}_id"))
-    return dealt.join(copies, (F.col(one) == F.col("__id")) & (F.col("__salt") == F.col("__group"))).drop("__id", "__salt", "__group")
+    out = pairs
+    for one, other in (("a", "b"), ("b", "a")):
+        many = pairs.groupBy(one).agg(F.count(F.lit(1)).alias(f"__{one}_n")).where(F.col(f"__{one}_n") > OFTEN)
+        out = out.join(many, one, "left")
+        group = F.when(F.col(f"__{one}_n").isNotNull(), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0)
+        out = out.withColumn(f"__{one}_salt", group.cast("int")).drop(f"__{one}_n")
+    dealt = out
+    for one in "ab":
+        wanted = dealt.select(F.col(one).alias("__id"), F.col(f"__{one}_salt").alias("__group")).distinct()
+        own = table.select(*[F.col(c).alias(f"{one}_{c}") for c in table.columns])
+        copies = wanted.join(own, F.col("__id") == F.col(f"{one}_id"))
+        out = out.join(copies, (F.col(one) == F.col("__id")) & (F.col(f"__{one}_salt") == F.col("__group"))).drop("__id", "__group")
+    return out
 
 
 def near_enough(pairs: DataFrame, brief: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -179,14 +187,14 @@ def near_enough(pairs: DataFrame, brief: DataFrame, similarity: tuple[int, int])
         unlike = bits if unlike is None else unlike.bitwiseOR(bits)
     near = F.bit_count(unlike) <= most_errors(part / whole)
     sizes = F.least("a_n", "b_n") * whole >= F.greatest("a_n", "b_n") * part
-    return attached(attached(pairs, brief, "a", "b"), brief, "b", "a").where(near & sizes).select("a", "b")
+    return attached(pairs, brief).where(near & sizes).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     part, whole = similarity
     sets = full.select("id", "shingles")
-    both = attached(attached(pairs, sets, "a", "b"), sets, "b", "a")
+    both = attached(pairs, sets)
     shared = F.size(F.array_intersect("a_shingles", "b_shingles")).cast("long")
     union = F.size("a_shingles") + F.size("b_shingles") - shared
     return both.where(shared * whole >= union * part).select("a", "b")
@@ -232,12 +240,12 @@ def group_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -
     groups = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members"))
     shared = written(keys.join(groups.where(F.col("first") < F.col("last")), "key"), "shared")
     brief = written(classes.select("id", "n_shingles", "signature").mapInArrow(slices, "id long, n long, " + ", ".join(f"s{i} long" for i in range(SLICES))), "brief")
-    star = shared.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    star = written(shared.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "star")
     hopeful = written(near_enough(star, brief, similarity), "pairs")
     ids = hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     full = full_sets(rows, ids)
     links = written(confirmed(hopeful, full, similarity), "confirmed")
-    drop_written(brief, hopeful, full)
+    drop_written(brief, star, hopeful, full)
     links = written(links.union(between(shared, components(links), rows, similarity)), "confirmed")
     drop_written(shared)
     classed = sets.join(classes.select(*same, "id"), same, "left")
