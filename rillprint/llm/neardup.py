@@ -12,8 +12,8 @@ sets and joined to components.  Where members of a group are then still in diffe
 those members that share one of their rarest shingles are compared as well.  So no link between different
 texts is lost, and a large group of copies costs about as many comparisons as it has members.
 
-Pairs are dealt by both their documents, and a frequent shingle's rows by their number, so that no document or shingle with most of the
-pairs is one task's.  A key's members and a component's links are joined to one row for each key, with rows of 16 bytes: there
+The pairs of a document that has very many are dealt by the other document, and a frequent shingle's rows by their number, so that no
+document or shingle with most of the pairs is one task's.  A key's members and a component's links are joined to one row for each key, with rows of 16 bytes: there
 the skew join of adaptive execution splits a hot key.
 
 A pair is missed if no chunk of its signatures has under two errors, or if the quick distance of two sketches is beyond its bound:
@@ -158,28 +158,38 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return written(texts.mapInArrow(read_full, "id long, shingles array<long>, " + ", ".join(f"{w} long" for w in MAP)), "shingles")
 
 
-def attached(pairs: DataFrame, table: DataFrame) -> DataFrame:
+def hubs(pairs: DataFrame, ends: str) -> dict[str, DataFrame]:
+    """For each end ("a", "b" or both), a written table of the ids that have over OFTEN pairs (a, b) there."""
+    counts = {one: pairs.groupBy(F.col(one).alias("hub")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OFTEN) for one in ends}
+    return {one: written(found.select("hub"), "hubs") for one, found in counts.items()}
+
+
+def attached(pairs: DataFrame, table: DataFrame, many: dict[str, DataFrame]) -> DataFrame:
     """Pairs (a, b), a written table, with the columns that the table has for both ids.
 
-    An id with over OFTEN pairs has them dealt over SALTS groups by the other id, and the table's row is copied for these groups alone.
+    The pairs of one of hubs() are dealt over SALTS groups by the other id, and the table's row is copied for these groups alone.
+    Hubs are at most a pair in OFTEN, in a table of known size, so finding them moves no pairs while that table is small enough to broadcast.
     """
-    out = pairs
+    out, copies = pairs, {}
     for one, other in (("a", "b"), ("b", "a")):
-        many = pairs.groupBy(one).agg(F.count(F.lit(1)).alias(f"__{one}_n")).where(F.col(f"__{one}_n") > OFTEN)
-        out = out.join(many, one, "left")
-        group = F.when(F.col(f"__{one}_n").isNotNull(), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0)
-        out = out.withColumn(f"__{one}_salt", group.cast("int")).drop(f"__{one}_n")
-    dealt = out
-    for one in "ab":
-        wanted = dealt.select(F.col(one).alias("__id"), F.col(f"__{one}_salt").alias("__group")).distinct()
         own = table.select(*[F.col(c).alias(f"{one}_{c}") for c in table.columns])
-        copies = wanted.join(own, F.col("__id") == F.col(f"{one}_id"))
-        out = out.join(copies, (F.col(one) == F.col("__id")) & (F.col(f"__{one}_salt") == F.col("__group"))).drop("__id", "__group")
+        groups = F.array(F.lit(0))
+        out = out.withColumn(f"__{one}", F.lit(0))
+        if one in many:
+            hub = many[one].withColumnRenamed("hub", f"__{one}_hub")
+            is_hub = F.col(f"__{one}_hub").isNotNull()
+            group = F.when(is_hub, F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0)
+            out = out.join(hub, F.col(one) == F.col(f"__{one}_hub"), "left").withColumn(f"__{one}", group.cast("int")).drop(f"__{one}_hub")
+            own = own.join(hub, F.col(f"{one}_id") == F.col(f"__{one}_hub"), "left")
+            groups = F.sequence(F.lit(0), F.when(is_hub, SALTS - 1).otherwise(0))
+        copies[one] = own.withColumn(f"__{one}_group", F.explode(groups)).drop(f"__{one}_hub")
+    for one in "ab":
+        out = out.join(copies[one], (F.col(one) == F.col(f"{one}_id")) & (F.col(f"__{one}") == F.col(f"__{one}_group"))).drop(f"__{one}", f"__{one}_group")
     return out
 
 
-def near_enough(pairs: DataFrame, brief: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that sizes and the quick distance leave possible."""
+def near_enough(pairs: DataFrame, brief: DataFrame, similarity: tuple[int, int], ends: str) -> DataFrame:
+    """A written table of the pairs (a, b) that sizes and the quick distance leave possible; ``ends`` as in hubs()."""
     part, whole = similarity
     unlike = None
     for i in range(SLICES):
@@ -187,17 +197,22 @@ def near_enough(pairs: DataFrame, brief: DataFrame, similarity: tuple[int, int])
         unlike = bits if unlike is None else unlike.bitwiseOR(bits)
     near = F.bit_count(unlike) <= most_errors(part / whole)
     sizes = F.least("a_n", "b_n") * whole >= F.greatest("a_n", "b_n") * part
-    return attached(pairs, brief).where(near & sizes).select("a", "b")
+    many = hubs(pairs, ends)
+    out = written(attached(pairs, brief, many).where(near & sizes).select("a", "b"), "pairs")
+    drop_written(*many.values())
+    return out
 
 
-def confirmed(pairs: DataFrame, full: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def confirmed(pairs: DataFrame, full: DataFrame, similarity: tuple[int, int], ends: str) -> DataFrame:
+    """A written table of the pairs (a, b) whose full shingle sets are similar enough; ``ends`` as in hubs()."""
     part, whole = similarity
-    sets = full.select("id", "shingles")
-    both = attached(pairs, sets)
+    many = hubs(pairs, ends)
+    both = attached(pairs, full.select("id", "shingles"), many)
     shared = F.size(F.array_intersect("a_shingles", "b_shingles")).cast("long")
     union = F.size("a_shingles") + F.size("b_shingles") - shared
-    return both.where(shared * whole >= union * part).select("a", "b")
+    out = written(both.where(shared * whole >= union * part).select("a", "b"), "confirmed")
+    drop_written(*many.values())
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,10 +256,11 @@ def group_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -
     shared = written(keys.join(groups.where(F.col("first") < F.col("last")), "key"), "shared")
     brief = written(classes.select("id", "n_shingles", "signature").mapInArrow(slices, "id long, n long, " + ", ".join(f"s{i} long" for i in range(SLICES))), "brief")
     star = written(shared.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    hopeful = written(near_enough(star, brief, similarity), "pairs")
+    # an id has SYMBOLS keys, so it is in no more pairs of a star than that, but where it is the first of a key
+    hopeful = near_enough(star, brief, similarity, "a")
     ids = hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     full = full_sets(rows, ids)
-    links = written(confirmed(hopeful, full, similarity), "confirmed")
+    links = confirmed(hopeful, full, similarity, "a")
     drop_written(brief, star, hopeful, full)
     links = written(links.union(between(shared, components(links), rows, similarity)), "confirmed")
     drop_written(shared)
@@ -290,6 +306,6 @@ def between(shared: DataFrame, first: DataFrame, docs: DataFrame, similarity: tu
     most = F.least("ma", "mb", F.col("na") - lacks("a", "b"), F.col("nb") - lacks("b", "a"))
     sizes = most * (whole + part) >= (F.col("na") + F.col("nb")) * part
     pairs = written(a.join(b, ["s", "salt"]).where((F.col("ca") < F.col("cb")) & sizes).select("a", "b").distinct(), "between")
-    links = written(confirmed(pairs, full, similarity), "confirmed")
+    links = confirmed(pairs, full, similarity, "ab")
     drop_written(rest, full, rare, pairs)
     return links
