@@ -252,8 +252,8 @@ def group_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -
     same = ["n_shingles", "f1", "f2"]
     classes = written(some.groupBy(*same).agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")), "classes")
     keys = classes.select("id", "signature").mapInArrow(index_keys, "key long, id long")
-    groups = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members"))
-    shared = written(keys.join(groups.where(F.col("first") < F.col("last")), "key"), "shared")
+    groups = keys.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members"))
+    shared = written(keys.join(groups.where("members > 1"), "key"), "shared")
     brief = written(classes.select("id", "n_shingles", "signature").mapInArrow(slices, "id long, n long, " + ", ".join(f"s{i} long" for i in range(SLICES))), "brief")
     star = written(shared.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "star")
     # an id has SYMBOLS keys, so it is in no more pairs of a star than that, but where it is the first of a key
@@ -291,14 +291,15 @@ def between(shared: DataFrame, first: DataFrame, docs: DataFrame, similarity: tu
     mixed_keys = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     rest = written(member.join(mixed_keys, "key", "left_semi").select("id", "c").distinct(), "rest")
     full = full_sets(docs, rest.select("id"))
-    each = full.join(rest, "id").select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"), *MAP)
+    each = full.join(rest, "id").select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count(F.lit(1)).alias("often"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
     # shingles of one component alone come first in the order of rarity: no pair looked for here shares them
     ranked = each.join(often, "s").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "s")))
     ranked = ranked.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("id")))
     prefix = F.col("n") - F.floor((F.col("n") * part + whole - 1) / whole) + 1
     ways = (F.floor(F.col("often") / OFTEN) + 1).cast("int")  # groups that a shingle's rows are dealt over; each meets all rows
-    rare = written(ranked.where(F.col("n") - F.col("m") + F.col("rank") <= prefix).select("id", "c", "n", "m", "s", ways.alias("ways"), *MAP), "rare")
+    prefixes = ranked.where(F.col("n") - F.col("m") + F.col("rank") <= prefix).select("id", "c", "n", "m", "s", ways.alias("ways"))
+    rare = written(prefixes.join(full.select("id", *MAP), "id"), "rare")
     a, b = (rare.withColumn("salt", x).select("s", "salt", F.col("id").alias(y), *[F.col(k).alias(f"{k}{y}") for k in ["c", "n", "m", *MAP]]) for x, y in ((F.pmod(F.xxhash64("id"), F.col("ways")).cast("int"), "a"), (F.explode(F.sequence(F.lit(0), F.col("ways") - 1)), "b")))
     # they can share no more than either has of shingles that lie in several components, and none of those
     # whose bit the other's map lacks
