@@ -66,7 +66,7 @@ class Rolling:
 def tile(item: np.ndarray, text: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in text, length) of tiles that do not overlap, longest first.
 
-    Equal lengths go to the smaller place in the item, then in the text.
+    Equal lengths go to the smaller place in the text, then in the item.
     """
     in_item, in_text = Rolling(item), Rolling(text)
     free_i, free_t = np.ones(len(item), bool), np.ones(len(text), bool)
@@ -213,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """FOUND: a row for each document and benchmark item that it covers to at least ``coverage``; clean documents have none.
 
     Items of fewer than MIN_MATCH tokens, null ones included, match nothing; null and empty texts cover
-    nothing; repeated documents or items are each reported; empty tables give no rows.
+    nothing; repeated documents are each reported, equal rows of items (item_id and text) once; empty tables give no rows.
     """
     rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None

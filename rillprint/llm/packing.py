@@ -142,5 +142,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for all rows of (doc_id, text)."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for all rows of (doc_id, text).
+
+    A null or empty text is one piece of END_ID alone; a null doc_id stays null; repeated rows are packed each; an empty table gives
+    no rows; other columns are ignored.  Which of equally long pieces shares a sequence with which others is not defined.
+    """
     return pack(token_pieces(docs, tokenizer, capacity), capacity)
