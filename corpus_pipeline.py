@@ -20,18 +20,21 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group (five words, similarity 0.8)."""
+    """The document with the smallest doc_id of each near-duplicate group (five words, similarity 0.8).
+
+    Rows that repeat that doc_id all stay, as do rows with a null doc_id and texts without words.
+    """
     groups = neardup.group_documents(docs)
     return docs.join(groups.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover no benchmark item."""
+    """Documents that cover no benchmark item; null and empty texts cover none."""
     return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data; n_chars follows the text."""
+    """All documents, with surrogates for personal data; n_chars follows the text. Null texts stay null."""
     new = pii.with_surrogates(docs, pii.surrogate_key(spark), counts=(found := fresh("n_entities", docs)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -40,7 +43,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents, repeated rows and null texts too, in sequences of at most 2048 tokens."""
     return packing.pack_documents(docs)
 
 
