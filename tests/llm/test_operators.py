@@ -737,3 +737,19 @@ def test_stages_keep_columns_and_take_odd_rows(spark, odd_docs, tmp_path):
             out = common.written(stage(spark, docs, str(tmp_path)), name)
             assert name == "best_fit_packing" or out.columns == docs.columns
             docs = out
+
+
+def test_pairs_of_hubs_are_dealt(spark, monkeypatch):
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join(words)] + [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(0, 120, 4)] + [" ".join(f"x{d}y{k}" for k in range(40)) for d in range(5)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = sorted(rows(neardup.group_documents(frame), "doc_id", "component_id", "kept"))
+    monkeypatch.setattr(neardup, "OFTEN", 1)
+    pairs = common.written(spark.createDataFrame([(0, k) for k in range(1, 9)] + [(9, 8)], "a long, b long"), "pairs")
+    many = neardup.hubs(pairs, "ab")
+    assert {one: rows(t, "hub") for one, t in many.items()} == {"a": [(0,)], "b": [(8,)]}
+    table = spark.createDataFrame([(k, k * k) for k in range(10)], "id long, n long")
+    dealt = rows(neardup.attached(pairs, table, many), "a", "b", "a_n", "b_n")
+    assert sorted(dealt) == sorted((a, b, a * a, b * b) for a, b in [(0, k) for k in range(1, 9)] + [(9, 8)])
+    assert sorted(rows(neardup.group_documents(frame), "doc_id", "component_id", "kept")) == plain
+    assert {c for d, c, _ in plain if d < len(texts) - 5} == {0}
