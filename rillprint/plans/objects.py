@@ -22,6 +22,9 @@ from ..sources.formats import extract
 from ..spec import HashSpec
 
 
+SLICE = 8192  # rows that an object's tokens or chunks are sent in, so that they are never all held at once
+
+
 def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
@@ -36,10 +39,12 @@ class _Rows:
         for batch in batches:
             rows = []
             for o, c, fmt in zip(*(batch[k].to_pylist() for k in ("object_id", "content", "format"))):
-                if c is not None:
-                    rows += [(o, *r) for r in self.f(c, fmt)]
-                elif self.nulls:
-                    rows.append((o, *[None] * (len(self.schema) - 1)))
+                made = self.f(c, fmt) if c is not None else [[None] * (len(self.schema) - 1)] if self.nulls else ()
+                for r in made:
+                    rows.append((o, *r))
+                    if len(rows) == SLICE:
+                        yield _columns(rows, self.schema)
+                        rows = []
             yield _columns(rows, self.schema)
 
 
