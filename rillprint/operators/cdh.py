@@ -1,12 +1,14 @@
 """Hashes of decoded content straight from LZ77 operations, by three strategies.
 
-``prefix`` keeps the hash of every prefix; ``rope`` keeps only segments and never makes the decoded bytes; ``sliding`` keeps
+``prefix`` keeps the hash of every prefix; ``rope`` keeps only segments, as large as the operations, and never makes the decoded bytes; ``sliding`` keeps
 a bounded window of them.  All raise ValueError for a reference to before the start, and all give H(decode(ops)).
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
+from collections.abc import Iterator
 
 from ..functions import kernels as K
 from ..sources.streams import Op
@@ -14,13 +16,18 @@ from ..spec import HashSpec
 from .lz77 import check
 
 METHODS = ("prefix", "rope", "sliding")
-#: Largest distance and match length of each format; the sliding strategy's window is their sum.
+#: Largest distance and match length of each format; the sliding strategy's window is their sum.
 WINDOWS = {"raw": (1, 1), "deflate": (32768, 258), "gzip": (32768, 258), "zip": (32768, 258), "lz4_block": (65535, 65536), "lz4_frame": (65535, 65536), "zstd": (1 << 27, 131074)}
 
 
 def _prefix(ops: list[Op], base: int, prime: int) -> int:
-    """All prefix hashes; a reference is hashed by its period, then its prefixes follow from the source's."""
-    hashes = [0]
+    """All prefix hashes, 8 bytes each below 2**64.
+
+    After k bytes of a reference the hash is that of the output before it, less that of the output before its source, times
+    base**k, plus that of the source's prefix; a turn of the period is added at a time, so that each has its source.
+    """
+    hashes = array("Q", [0]) if prime < 1 << 64 else [0]
+    powers = Powers(base, prime)
     for op in ops:
         h = hashes[-1]
         if isinstance(op, bytes):
@@ -31,94 +38,168 @@ def _prefix(ops: list[Op], base: int, prime: int) -> int:
         distance, length = op
         n = len(hashes) - 1
         check(distance, length, n)
-        start, power = n - distance, 1
-        source = hashes[start]
-        period = K.substring_hash(hashes, start, distance, base, prime)
-        for k in range(1, length + 1):
-            q, r = divmod(k, distance)
-            if q == 0:
-                power = power * base % prime
-                own = (hashes[start + k] - source * power) % prime
-                hashes.append((h * power + own) % prime)
-            elif r == 0 or k == length:
-                own = K.overlap(period, distance, k, K.substring_hash(hashes, start, r, base, prime), base, prime)
-                hashes.append(K.concat(h, own, k, base, prime))
-            else:  # within a later repeat the output so far is the source
-                hashes.append((hashes[-1] * base + (hashes[start + k] - hashes[start + k - 1] * base)) % prime)
+        done = 0
+        while done < length:
+            turn = min(distance, length - done)
+            at = len(hashes) - 1
+            shift = hashes[at] - hashes[at - distance]
+            hashes.extend([(shift * w + x) % prime for w, x in zip(powers.to(turn), hashes[at - distance + 1 : at - distance + turn + 1])])
+            done += turn
     return hashes[-1]
 
 
+class Powers:
+    """Powers of a base; those to KEPT are made once."""
+
+    KEPT = 1024
+
+    def __init__(self, base: int, prime: int):
+        self.base, self.prime, self.kept = base, prime, [1]
+
+    def to(self, n: int) -> list[int]:
+        """base**1 to base**n."""
+        kept = self.kept if n < self.KEPT else list(self.kept)
+        while len(kept) <= n:
+            kept.append(kept[-1] * self.base % self.prime)
+        return kept[1 : n + 1]
+
+    def __getitem__(self, n: int) -> int:
+        if n >= self.KEPT:
+            return pow(self.base, n, self.prime)
+        while len(self.kept) <= n:
+            self.kept.append(self.kept[-1] * self.base % self.prime)
+        return self.kept[n]
+
+
 class Segments:
-    """Output as segments: literal runs with their prefix hashes, and references to earlier output.
+    """Output as segments: literal runs as they are, and references to earlier output, with the hash of all before each.
 
-    The hash of the first t bytes of the output is that of the whole segments before t and of a part of one; a part of
-    a reference is a difference of two earlier prefixes, repeated if it overlaps itself.
+    The hash of the first t bytes of the output is that of the whole segments before t and of a part of one.  A part of a run is
+    hashed from the last of its marks, one every STEP bytes.  A part of a reference leads to the prefix that ends in its source,
+    which may end in a reference again; at most about KNOWN prefixes found on the way are remembered.
     """
 
+    STEP, RUN, KNOWN = 64, 1 << 16, 1 << 16
+
     def __init__(self, base: int, prime: int):
-        self.base, self.prime = base, prime
+        self.base, self.prime, self.powers = base, prime, Powers(base, prime)
         self.starts, self.parts, self.before = [], [], [0]  # before: hash of all segments before each
-        self.length, self.known = 0, {0: 0}
+        self.length, self.known, self.marks = 0, {}, {}
 
     def literals(self, data: bytes) -> None:
-        if data:
-            hashes = K.prefix_hashes(data, self.base, self.prime)
-            self._add(hashes, len(data), hashes[-1])
+        for part in pieces(data, self.RUN):
+            self.run(part, K.hash_bytes(part, self.base, self.prime))
+
+    def run(self, data: bytes, h: int) -> None:
+        """Literals whose hash is known; at least one."""
+        self._add(data, len(data), (self.before[-1] * self.powers[len(data)] + h) % self.prime)
 
     def copy(self, distance: int, length: int) -> None:
         check(distance, length, self.length)
-        source = (self.length - distance, distance)
-        self._add(source, length, self._copied(source, length))
+        if len(self.known) > self.KNOWN:
+            self.known.clear()
+        start = self.length - distance
+        part = (start, distance, self.before[-1] - self.prefix(start))
+        end, more = self._source(part, length)
+        self._add(part, length, (self.prefix(end) + more) % self.prime)
 
-    def _add(self, part, length: int, h: int) -> None:
+    def _add(self, part, length: int, whole: int) -> None:
         self.starts.append(self.length)
         self.parts.append(part)
-        self.before.append(K.concat(self.before[-1], h, length, self.base, self.prime))
+        self.before.append(whole)
         self.length += length
-        self.known[self.length] = self.before[-1]
 
-    def _copied(self, source: tuple[int, int], n: int) -> int:
-        start, distance = source
+    def _source(self, part: tuple[int, int, int], n: int) -> tuple[int, int]:
+        """A place in the output before a reference, and what the hash of the output to n bytes of it is above the hash to that place.
+
+        The output to n bytes of a reference is the output before it, in place of that before its source, and then the source's
+        n bytes; where these overlap the reference itself, the same holds a distance earlier, and so on.
+        """
+        start, distance, shift = part
         if n <= distance:
-            return self.substring(start, n)
-        return K.overlap(self.substring(start, distance), distance, n, self.substring(start, n % distance), self.base, self.prime)
+            return start + n, shift * self.powers[n]
+        q = -(-n // distance)
+        first = n - (q - 1) * distance
+        return start + first, shift * self.powers[first] * K.phi(q, self.powers[distance], self.prime)
 
     def substring(self, start: int, length: int) -> int:
         """H of the output from start; 0 for no bytes."""
-        if not length:
-            return 0
-        return (self.prefix(start + length) - self.prefix(start) * pow(self.base, length, self.prime)) % self.prime
+        return (self.prefix(start + length) - self.prefix(start) * self.powers[length]) % self.prime if length else 0
 
     def prefix(self, end: int) -> int:
-        """H of the first ``end`` bytes; the earlier prefixes it needs are worked out first, without recursion."""
-        todo = [end]
-        while todo:
-            t = todo[-1]
+        """H of the first ``end`` bytes."""
+        way, t = [], end
+        while True:
+            if t == self.length:
+                h = self.before[-1]
+                break
             if t in self.known:
-                todo.pop()
-                continue
+                h = self.known[t]
+                break
             k = bisect_right(self.starts, t) - 1
-            part, n = self.parts[k], t - self.starts[k]
-            if isinstance(part, list):
-                self.known[t] = K.concat(self.before[k], part[n], n, self.base, self.prime)
-                continue
-            start, distance = part
-            need = [start, start + min(n, distance), start + n % distance]
-            if missing := [x for x in need if x not in self.known]:
-                todo += missing
-                continue
-            self.known[t] = K.concat(self.before[k], self._copied(part, n), n, self.base, self.prime)
-        return self.known[end]
+            n, part = t - self.starts[k], self.parts[k]
+            if not n:
+                h = self.before[k]
+                break
+            if isinstance(part, bytes):
+                h = self._in_run(k, part, n)
+                break
+            to, more = self._source(part, n)
+            way.append((t, more))
+            t = to
+        for t, more in reversed(way):
+            h = self.known[t] = (h + more) % self.prime
+        return h
+
+    def _in_run(self, k: int, run: bytes, n: int) -> int:
+        h, at = self.before[k], 0
+        if n > self.STEP:
+            at = n - n % self.STEP
+            h = self._marks(k)[n // self.STEP]
+        for c in run[at:n]:
+            h = (h * self.base + c + 1) % self.prime
+        return h
+
+    def _marks(self, k: int) -> list[int]:
+        """Hashes of the output to every STEP bytes of a run, made when first asked for."""
+        if k not in self.marks:
+            out, power = [self.before[k]], self.powers[self.STEP]
+            for h in K.hash_many(list(pieces(self.parts[k], self.STEP)), self.base, self.prime):
+                out.append((out[-1] * power + h) % self.prime)
+            self.marks[k] = out
+        return self.marks[k]
 
     @property
     def hash(self) -> int:
         return self.before[-1]
 
 
+def pieces(data: bytes, size: int) -> Iterator[bytes]:
+    return (data[at : at + size] for at in range(0, len(data), size))
+
+
+def _hashed_runs(ops: list[Op], base: int, prime: int) -> Iterator[tuple[bytes, int]]:
+    """The literal runs of operations, in pieces, with their hashes, about Segments.RUN bytes hashed at a time."""
+    some, size = [], 0
+    for op in ops:
+        if isinstance(op, bytes):
+            for part in pieces(op, Segments.RUN):
+                some.append(part)
+                size += len(part)
+                if size >= Segments.RUN:
+                    yield from zip(some, K.hash_many(some, base, prime))
+                    some, size = [], 0
+    yield from zip(some, K.hash_many(some, base, prime))
+
+
 def _rope(ops: list[Op], base: int, prime: int) -> int:
-    rope = Segments(base, prime)
+    rope, runs = Segments(base, prime), _hashed_runs(ops, base, prime)
     for op in ops:
-        rope.literals(op) if isinstance(op, bytes) else rope.copy(*op)
+        if isinstance(op, bytes):
+            for _ in range(0, len(op), Segments.RUN):
+                rope.run(*next(runs))
+        else:
+            rope.copy(*op)
     return rope.hash
 
 

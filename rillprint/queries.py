@@ -290,7 +290,9 @@ def cross_format_matrix(spark, sf_dir):
 
 def _cdh_query(fmt: str, method: str) -> Query:
     def run(spark, sf_dir):
-        objects = turns(spark, sf_dir) if fmt == "raw" else S.encode_objects(turns(spark, sf_dir), fmt)
+        objects = turns(spark, sf_dir)
+        if fmt != "raw":  # the turns stand in few row groups, and reading streams is the work of Python
+            objects = S.encode_objects(objects.repartition(spark.sparkContext.defaultParallelism, "object_id"), fmt)
         return flat(P.hash_objects(objects, method=method))
 
     return run

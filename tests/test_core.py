@@ -4,6 +4,7 @@ import gzip
 import io
 import random
 import struct
+import tracemalloc
 import zipfile
 import zlib
 
@@ -135,6 +136,36 @@ def test_rope_substrings():
             assert rope.substring(a, b - a) == plain(data[a:b])
 
 
+def test_strategies_over_long_runs_and_forgotten_prefixes(monkeypatch):
+    r = random.Random(4)
+    for known, run in ((1 << 16, 1 << 16), (3, 7)):
+        monkeypatch.setattr(cdh.Segments, "KNOWN", known)
+        monkeypatch.setattr(cdh.Segments, "RUN", run)
+        for _ in range(60):
+            ops, n = [], 0
+            for _ in range(r.randint(0, 40)):
+                if not n or r.random() < 0.4:
+                    ops.append(r.randbytes(r.choice([1, 2, 63, 64, 65, 200])))
+                    n += len(ops[-1])
+                else:
+                    ops.append((min(n, r.choice([1, 2, 3, r.randint(1, n)])), r.choice([1, 3, 10, r.randint(1, 300), 1500])))
+                    n += ops[-1][1]
+            data = lz77.decode(ops)
+            for prime in (M61, (1 << 127) - 1):
+                spec = HashSpec((131, 257), prime)
+                want = tuple(K.hash_bytes(data, b, prime) for b in spec.bases)
+                assert cdh.cdh(ops, spec, "rope") == want == cdh.cdh(ops, spec, "prefix")
+
+
+def test_rope_is_no_larger_than_its_operations():
+    ops = [random.Random(5).randbytes(1 << 20), (1 << 19, 1 << 19)]
+    tracemalloc.start()
+    h = cdh.cdh(ops, method="rope")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert h == (K.hash_bytes(lz77.decode(ops), 131),) and peak < 6 << 20
+
+
 def test_encoder_is_greedy_and_reversible():
     assert lz77.encode(b"abcabcabc") == [b"abc", (3, 6)]
     assert lz77.encode(b"abcXabcYabc")[-1] == (8, 3)  # the farthest of equals
