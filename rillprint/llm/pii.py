@@ -402,8 +402,8 @@ def with_surrogates(docs: DataFrame, key: bytes, counts: str | None = None, chec
     docs have a column of that name, ValueError is raised.  With ``check``, the entities of all documents are looked through
     first, and ValueError is raised if two of them would get one surrogate, one several, or one itself.
     """
-    if counts and counts.lower() in (c.lower() for c in docs.columns):
-        raise ValueError(f"documents have a column {counts}")
+    if counts and (clash := [c for c in docs.columns if c.lower() == counts.lower()]):
+        raise ValueError(f"documents have a column {clash[0]}")
     if check and (bad := collisions(written(entities(docs, key), "entities")).limit(3).collect()):
         raise ValueError(f"surrogates collide: {[(r['type'], r['number']) for r in bad]}")
     schema = StructType([*docs.schema.fields, *([StructField(counts, LongType())] if counts else [])])
