@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions.batches import SLICE_BYTES, slices
 from ..functions.blake3 import blake3
 from ..functions.exprs import compression_ratio, printable
 from ..operators.cdc import ChunkSpec, cut_points
@@ -30,21 +31,27 @@ def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 class _Rows:
-    """An Arrow function that turns each (object_id, content, format) into rows; null contents give none, or a row of nulls."""
+    """An Arrow function that turns each (object_id, content, format) into rows; null contents give none, or a row of nulls.
+
+    Rows are sent SLICE at a time, and after each SLICE_BYTES read or made.
+    """
 
     def __init__(self, f: Callable, schema: pa.Schema, nulls: bool = True):
         self.f, self.schema, self.nulls = f, schema, nulls
+        self.heavy = [k for k, field in enumerate(schema) if pa.types.is_binary(field.type)]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
+        for batch in (part for whole in batches for part in slices(whole)):
+            rows, size = [], 0
             for o, c, fmt in zip(*(batch[k].to_pylist() for k in ("object_id", "content", "format"))):
                 made = self.f(c, fmt) if c is not None else [[None] * (len(self.schema) - 1)] if self.nulls else ()
                 for r in made:
                     rows.append((o, *r))
-                    if len(rows) == SLICE:
+                    for k in self.heavy:
+                        size += len(rows[-1][k] or b"")
+                    if len(rows) == SLICE or size >= SLICE_BYTES:
                         yield _columns(rows, self.schema)
-                        rows = []
+                        rows, size = [], 0
             yield _columns(rows, self.schema)
 
 
@@ -91,7 +98,7 @@ class _HashBatch:
         self.spec = spec
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             data = batch["content"].to_pylist()
             per_base = [K.hash_many([c or b"" for c in data], b, self.spec.prime) for b in self.spec.bases]
             hashes = [None if c is None else [K.column_value(h, self.spec) for h in hs] for c, hs in zip(data, zip(*per_base))]

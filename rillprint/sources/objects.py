@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import slices
 from ..functions.exprs import resolve_format
 from .archives import zip_entries, zip_entry_ops
 
@@ -69,7 +70,7 @@ def zip64_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     full, limit = 0xFFFFFFFF, zipfile.ZIP64_LIMIT
     zipfile.ZIP64_LIMIT = -1
     try:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             content = [None if c is None else _zip(c) for c in batch["content"].to_pylist()]
             assert all(c is None or full.to_bytes(4, "little") in c for c in content)
             yield pa.RecordBatch.from_arrays([batch["object_id"], pa.array(content, pa.binary()), pa.array(["zip"] * len(content))], ["object_id", "content", "format"])
@@ -82,7 +83,7 @@ class _Encode:
         self.fmt, self.level = fmt, level
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             content = [None if c is None else encode(c, self.fmt, self.level) for c in batch["content"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["object_id"], pa.array(content, pa.binary()), pa.array([self.fmt] * len(content))], ["object_id", "content", "format"])
 
@@ -93,7 +94,7 @@ def encode_objects(objects: DataFrame, fmt: str, level: int | None = None) -> Da
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         rows = [(o, e.filename, e.compression_method, e.compressed_size, e.uncompressed_size, e.crc32, e.local_header_offset, e.data_offset) for o, c in zip(batch["object_id"].to_pylist(), batch["content"].to_pylist()) if c is not None for e in zip_entries(c)]
         types = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 5]
         names = ["object_id", "filename", "compression_method", "compressed_size", "uncompressed_size", "crc32", "local_header_offset", "data_offset"]
@@ -106,7 +107,7 @@ def list_entries(archives: DataFrame) -> DataFrame:
 
 
 def _entry_objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         rows = []
         for o, c in zip(batch["object_id"].to_pylist(), batch["content"].to_pylist()):
             for e in zip_entries(c) if c is not None else ():

@@ -8,6 +8,7 @@ import tracemalloc
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -340,3 +341,39 @@ def test_hash_by_chunks(spark):
     assert got == {"a": (33000, want), "b": (0, [0, 0]), "c": (None, None), "d": (33000, want)}
     with pytest.raises(ValueError):
         P.hash_chunked(df, HashSpec((131,), M127))
+
+
+def test_hashes_hold_a_block_at_a_time(monkeypatch):
+    some = [b"ab" * 400_000, *[bytes([k % 256]) * (k % 300) for k in range(20_000)]]
+    tracemalloc.start()
+    got = K.hash_many(some, 131)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6  # all at once: 60 bytes for each of 3.8 million
+    monkeypatch.setattr(K, "BLOCK", 64)
+    K._powers61.cache_clear()
+    assert got == K.hash_many(some, 131) and got[1:400] == [plain(c) for c in some[1:400]]
+
+
+def test_batches_are_read_in_slices(monkeypatch):
+    from rillprint.functions import batches as B
+
+    rows = [(str(k), None if k == 7 else bytes([k]) * (4000 if k == 5 else 100)) for k in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), pa.array(["raw"] * 50)], ["object_id", "content", "format"])
+    monkeypatch.setattr(B, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(P, "SLICE_BYTES", 1000)
+    for column in ("content", "object_id"):
+        assert pa.Table.from_batches(list(B.slices(batch, column))).to_pydict() == batch.to_pydict()
+    sizes = [[len(c or b"") for c in part["content"].to_pylist()] for part in B.slices(batch)]
+    assert all(sum(s) <= 1000 or len(s) == 1 for s in sizes) and [4000] in sizes
+    hashed = list(P._HashBatch(HashSpec())([batch]))
+    assert len(hashed) > 5 and [h for part in hashed for h in part["hash"].to_pylist()] == [c if c is None else [plain(c)] for _, c in rows]
+    packed = list(S._Encode("gzip", None)([batch]))
+    made = list(P._Rows(lambda c, fmt: [(lz77.decode(extract(c, fmt)),)], pa.schema([("object_id", pa.string()), ("content", pa.binary())]))(packed))
+    assert [c for part in made for c in part["content"].to_pylist()] == [c for _, c in rows]
+    assert max(part.num_rows for part in made) <= 11  # ten of 100 bytes, and the null
+
+
+def test_empty_batches_have_no_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array([], pa.string()), pa.array([], pa.binary())], ["object_id", "content"])
+    assert not list(P._HashBatch(HashSpec())([batch]))
