@@ -377,3 +377,19 @@ def test_batches_are_read_in_slices(monkeypatch):
 def test_empty_batches_have_no_slices():
     batch = pa.RecordBatch.from_arrays([pa.array([], pa.string()), pa.array([], pa.binary())], ["object_id", "content"])
     assert not list(P._HashBatch(HashSpec())([batch]))
+
+
+def test_deflate_is_not_read_bit_field_by_bit_field(monkeypatch):
+    from rillprint.sources import streams
+
+    calls, peek = [], streams.LowBits.peek
+    monkeypatch.setattr(streams.LowBits, "peek", lambda self, n: calls.append(n) or peek(self, n))
+    r = random.Random(8)
+    for data in (bytes(r.choices(b"etaoin shrdlu", k=20_000)), ALL[9] * 40):
+        ops = extract(S.encode(data, "deflate"), "deflate")
+        assert lz77.decode(ops) == data
+    assert len(calls) < 200  # heads of blocks alone; a call for each symbol would be over 10,000
+    packed = S.encode(bytes(r.choices(b"etaoin shrdlu", k=500)), "deflate")
+    for cut in range(len(packed)):
+        with pytest.raises(StreamError):
+            extract(packed[:cut], "deflate")
