@@ -33,20 +33,21 @@ def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 class _Rows:
     """An Arrow function that turns each (object_id, content, format) into rows; null contents give none, or a row of nulls.
 
-    Rows are sent SLICE at a time, and after each SLICE_BYTES read or made.
+    Rows are sent SLICE at a time, and after each SLICE_BYTES read or made.  With ``formats`` an object's format is the second column.
     """
 
-    def __init__(self, f: Callable, schema: pa.Schema, nulls: bool = True):
-        self.f, self.schema, self.nulls = f, schema, nulls
+    def __init__(self, f: Callable, schema: pa.Schema, nulls: bool = True, formats: bool = False):
+        self.f, self.schema, self.nulls, self.formats = f, schema, nulls, formats
         self.heavy = [k for k, field in enumerate(schema) if pa.types.is_binary(field.type)]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             rows, size = [], 0
             for o, c, fmt in zip(*(batch[k].to_pylist() for k in ("object_id", "content", "format"))):
-                made = self.f(c, fmt) if c is not None else [[None] * (len(self.schema) - 1)] if self.nulls else ()
+                head = (o, fmt) if self.formats else (o,)
+                made = self.f(c, fmt) if c is not None else [[None] * (len(self.schema) - len(head))] if self.nulls else ()
                 for r in made:
-                    rows.append((o, *r))
+                    rows.append((*head, *r))
                     for k in self.heavy:
                         size += len(rows[-1][k] or b"")
                     if len(rows) == SLICE or size >= SLICE_BYTES:
@@ -151,26 +152,36 @@ def inspect(objects: DataFrame, limit: int = 0) -> DataFrame:
     return shown.where(F.col("seq") < limit) if limit else shown
 
 
+STATS = ("total_tokens", "literals", "references", "overlapping_refs", "decoded_size")
+
+
+def _stats(content: bytes, fmt: str) -> tuple[int, ...]:
+    ops = extract(content, fmt)
+    refs = [op for op in ops if not isinstance(op, bytes)]
+    literals = sum(len(op) for op in ops if isinstance(op, bytes))
+    return literals + len(refs), literals, len(refs), sum(d < n for d, n in refs), literals + sum(n for _, n in refs)
+
+
 def token_stats(objects: DataFrame) -> DataFrame:
     """object_id, total_tokens, literals, references, overlapping_refs and decoded_size, without a token table."""
+    return _apply(objects, lambda c, fmt: [_stats(c, fmt)], [(n, pa.int64()) for n in STATS], ", ".join(f"{n} long" for n in STATS))
 
-    def one(content: bytes, fmt: str):
-        ops = extract(content, fmt)
-        refs = [op for op in ops if not isinstance(op, bytes)]
-        literals = sum(len(op) for op in ops if isinstance(op, bytes))
-        yield literals + len(refs), literals, len(refs), sum(d < n for d, n in refs), literals + sum(n for _, n in refs)
 
-    names = ("total_tokens", "literals", "references", "overlapping_refs", "decoded_size")
-    return _apply(objects, one, [(n, pa.int64()) for n in names], ", ".join(f"{n} long" for n in names))
+def info(objects: DataFrame) -> DataFrame:
+    """Sizes, ratio and token counts of each object, a row for each row; raw objects have a size only.
 
+    Contents are read once, and rows are not told apart by object_id, which forms of one content may share.
+    """
 
-def info(objects: DataFrame) -> DataFrame:
-    """Sizes, ratio and token counts of each object; raw objects have a size only, which needs no content."""
-    raw = objects.where(F.col("format") == "raw").select(F.col("object_id").cast("string"), F.octet_length("content").cast("long").alias("file_size"), "format", *[F.lit(None).cast(t).alias(n) for n, t in (("decoded_size", "long"), ("compression_ratio", "double"), ("total_tokens", "long"), ("literals", "long"), ("references", "long"), ("overlapping_refs", "long"))])
-    sized = objects.where(F.col("format") != "raw").select(F.col("object_id").cast("string"), F.octet_length("content").cast("long").alias("file_size"), "format")
-    stats = token_stats(objects.where(F.col("format") != "raw"))
-    both = sized.join(stats, "object_id").withColumn("compression_ratio", compression_ratio(F.col("decoded_size"), F.col("file_size")))
-    return raw.unionByName(both.select(raw.columns))
+    def one(content: bytes, fmt: str):
+        yield len(content), *(_stats(content, fmt) if fmt != "raw" else [None] * len(STATS))
+
+    names = ("file_size", *STATS)
+    rows = objects.select(F.col("object_id").cast("string"), "content", "format")
+    schema = pa.schema([("object_id", pa.string()), ("format", pa.string()), *[(n, pa.int64()) for n in names]])
+    found = rows.mapInArrow(_Rows(one, schema, formats=True), "object_id string, format string, " + ", ".join(f"{n} long" for n in names))
+    ratio = F.when(F.col("format") != "raw", compression_ratio(F.col("decoded_size"), F.col("file_size"))).alias("compression_ratio")
+    return found.select("object_id", "file_size", "format", "decoded_size", ratio, "total_tokens", "literals", "references", "overlapping_refs")
 
 
 def chunk_objects(objects: DataFrame, sizes: ChunkSpec = ChunkSpec(), spec: HashSpec = HashSpec(), content: bool = False) -> DataFrame:

@@ -393,3 +393,20 @@ def test_deflate_is_not_read_bit_field_by_bit_field(monkeypatch):
     for cut in range(len(packed)):
         with pytest.raises(StreamError):
             extract(packed[:cut], "deflate")
+
+
+def test_info_keeps_forms_of_one_object_apart(spark):
+    data = b"".join(ALL[:10])
+    forms = [("o", S.encode(data, f), f) for f in ("raw", "gzip", "lz4_frame", "zstd")] + [("o", None, "gzip"), ("o", None, "raw")]
+    got = P.info(spark.createDataFrame(forms, "object_id string, content binary, format string")).collect()
+    assert len(got) == len(forms)
+    by = {(r.format, r.file_size): r for r in got}
+    for _, c, fmt in forms:
+        row = by[fmt, None if c is None else len(c)]
+        assert row.decoded_size == (None if c is None or fmt == "raw" else len(data))
+        if c is not None and fmt != "raw":
+            ops = extract(c, fmt)
+            assert row.total_tokens == lz77.token_count(ops) and row.references == sum(not isinstance(op, bytes) for op in ops)
+            assert row.compression_ratio == round(len(data) / len(c), 2)
+        elif fmt == "raw":
+            assert row.compression_ratio is None
