@@ -410,3 +410,15 @@ def test_info_keeps_forms_of_one_object_apart(spark):
             assert row.compression_ratio == round(len(data) / len(c), 2)
         elif fmt == "raw":
             assert row.compression_ratio is None
+
+
+def test_zstd_is_not_read_bit_field_by_bit_field(monkeypatch):
+    from rillprint.sources import streams
+
+    calls, peek = [], streams.HighBits.peek
+    monkeypatch.setattr(streams.HighBits, "peek", lambda self, n: calls.append(n) or peek(self, n))
+    r = random.Random(8)
+    data = b" ".join(r.choice([b"alpha", b"beta", b"gamma", b"delta", b"epsilon%d" % r.randint(0, 99)]) for _ in range(3000))
+    ops = extract(S.encode(data, "zstd"), "zstd")
+    assert lz77.decode(ops) == data and cdh.cdh(ops) == (K.hash_bytes(data, 131),)
+    assert len(calls) < len(ops)  # one by one, six for each sequence and one for each literal
