@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..functions.batches import SLICE_BYTES, slices
+from ..functions.batches import SLICE_BYTES, map_objects, slices
 from ..functions.blake3 import blake3
 from ..functions.exprs import compression_ratio, printable
 from ..operators.cdc import ChunkSpec, cut_points
@@ -57,8 +57,7 @@ class _Rows:
 
 
 def _apply(objects: DataFrame, f: Callable, fields: list[tuple[str, pa.DataType]], ddl: str, nulls: bool = True) -> DataFrame:
-    rows = objects.select(F.col("object_id").cast("string"), "content", "format")
-    return rows.mapInArrow(_Rows(f, pa.schema([("object_id", pa.string()), *fields]), nulls), "object_id string, " + ddl)
+    return map_objects(objects, ("content", "format"), _Rows(f, pa.schema([("object_id", pa.string()), *fields]), nulls), "object_id string, " + ddl)
 
 
 def _hash_type(spec: HashSpec) -> tuple[pa.DataType, str]:
@@ -109,7 +108,7 @@ class _HashBatch:
 
 def hash_raw(objects: DataFrame, spec: HashSpec = HashSpec()) -> DataFrame:
     """object_id, length and hash of raw contents, a batch of rows at a time."""
-    return objects.select(F.col("object_id").cast("string"), "content").mapInArrow(_HashBatch(spec), f"object_id string, length long, hash {_hash_type(spec)[1]}")
+    return map_objects(objects, ("content",), _HashBatch(spec), f"object_id string, length long, hash {_hash_type(spec)[1]}")
 
 
 def decode_objects(objects: DataFrame) -> DataFrame:
@@ -177,9 +176,8 @@ def info(objects: DataFrame) -> DataFrame:
         yield len(content), *(_stats(content, fmt) if fmt != "raw" else [None] * len(STATS))
 
     names = ("file_size", *STATS)
-    rows = objects.select(F.col("object_id").cast("string"), "content", "format")
     schema = pa.schema([("object_id", pa.string()), ("format", pa.string()), *[(n, pa.int64()) for n in names]])
-    found = rows.mapInArrow(_Rows(one, schema, formats=True), "object_id string, format string, " + ", ".join(f"{n} long" for n in names))
+    found = map_objects(objects, ("content", "format"), _Rows(one, schema, formats=True), "object_id string, format string, " + ", ".join(f"{n} long" for n in names))
     ratio = F.when(F.col("format") != "raw", compression_ratio(F.col("decoded_size"), F.col("file_size"))).alias("compression_ratio")
     return found.select("object_id", "file_size", "format", "decoded_size", ratio, "total_tokens", "literals", "references", "overlapping_refs")
 

@@ -342,8 +342,7 @@ def hash_by_chunks(spark, sf_dir):
 @query("SELECT conv_id || '-' || turn || '!content' AS object_id, octet_length(encode(text))::BIGINT AS length, " + h_sql(hex_of()) + " AS h FROM conversations")
 def zip64_entry_hashes(spark, sf_dir):
     """Archives whose sizes and places stand in ZIP64 records."""
-    archives = turns(spark, sf_dir).select("object_id", "content").mapInArrow(S.zip64_archives, "object_id string, content binary, format string")
-    return flat(P.hash_objects(S.entry_objects(archives)))
+    return flat(P.hash_objects(S.entry_objects(S.zip64_archives(turns(spark, sf_dir)))))
 
 
 @query("SELECT conv_id || '-' || turn AS object_id, a.fmt AS fmt_a, b.fmt AS fmt_b, NOT ((a.fmt = 'zstd' OR b.fmt = 'zstd') AND turn % 3 = 0) AS match FROM conversations, (VALUES ('raw'), ('gzip'), ('zstd')) a(fmt), (VALUES ('raw'), ('gzip'), ('zstd')) b(fmt) WHERE a.fmt < b.fmt")

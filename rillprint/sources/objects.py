@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.batches import slices
+from ..functions.batches import map_objects, slices
 from ..functions.exprs import resolve_format
 from .archives import zip_entries, zip_entry_ops
 
+OBJECTS = "object_id string, content binary, format string"
 ENTRIES = "object_id string, filename string, compression_method int, compressed_size long, uncompressed_size long, crc32 long, local_header_offset long, data_offset long"
 
 
@@ -65,17 +66,21 @@ def encode(data: bytes, fmt: str, level: int | None = None) -> bytes:
     raise ValueError(f"{fmt} is not a format")
 
 
-def zip64_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(object_id, content) to ZIP archives whose directories have ZIP64 fields and ends, as archives beyond 4 GB do; for checks."""
+def _zip64_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     full, limit = 0xFFFFFFFF, zipfile.ZIP64_LIMIT
-    zipfile.ZIP64_LIMIT = -1
-    try:
-        for batch in (part for whole in batches for part in slices(whole)):
+    for batch in (part for whole in batches for part in slices(whole)):
+        zipfile.ZIP64_LIMIT = -1
+        try:  # not across the yield: other steps run in the same worker
             content = [None if c is None else _zip(c) for c in batch["content"].to_pylist()]
-            assert all(c is None or full.to_bytes(4, "little") in c for c in content)
-            yield pa.RecordBatch.from_arrays([batch["object_id"], pa.array(content, pa.binary()), pa.array(["zip"] * len(content))], ["object_id", "content", "format"])
-    finally:
-        zipfile.ZIP64_LIMIT = limit
+        finally:
+            zipfile.ZIP64_LIMIT = limit
+        assert all(c is None or full.to_bytes(4, "little") in c for c in content)
+        yield pa.RecordBatch.from_arrays([batch["object_id"], pa.array(content, pa.binary()), pa.array(["zip"] * len(content))], ["object_id", "content", "format"])
+
+
+def zip64_archives(objects: DataFrame) -> DataFrame:
+    """ZIP archives of the objects' content whose directories have ZIP64 fields and ends, as archives beyond 4 GB do; for checks."""
+    return map_objects(objects, ("content",), _zip64_archives, OBJECTS)
 
 
 class _Encode:
@@ -90,7 +95,7 @@ class _Encode:
 
 def encode_objects(objects: DataFrame, fmt: str, level: int | None = None) -> DataFrame:
     """object_id, content and format of the objects' content in a format; null stays null."""
-    return objects.select("object_id", "content").mapInArrow(_Encode(fmt, level), "object_id string, content binary, format string")
+    return map_objects(objects, ("content",), _Encode(fmt, level), OBJECTS)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +108,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def list_entries(archives: DataFrame) -> DataFrame:
     """ENTRIES of each ZIP archive."""
-    return archives.select("object_id", "content").mapInArrow(_entries, ENTRIES)
+    return map_objects(archives, ("content",), _entries, ENTRIES)
 
 
 def _entry_objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,4 +123,4 @@ def _entry_objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def entry_objects(archives: DataFrame) -> DataFrame:
     """Every entry of the archives as an object of its own (archive!name), still compressed."""
-    return archives.select("object_id", "content").mapInArrow(_entry_objects, "object_id string, content binary, format string")
+    return map_objects(archives, ("content",), _entry_objects, OBJECTS)

@@ -422,3 +422,31 @@ def test_zstd_is_not_read_bit_field_by_bit_field(monkeypatch):
     ops = extract(S.encode(data, "zstd"), "zstd")
     assert lz77.decode(ops) == data and cdh.cdh(ops) == (K.hash_bytes(data, 131),)
     assert len(calls) < len(ops)  # one by one, six for each sequence and one for each literal
+
+
+def in_arrow(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+
+def test_steps_over_archives_share_a_worker(spark):
+    data = [(str(k), c) for k, c in enumerate(ALL[:12])] + [("none", None)]
+    raw = spark.createDataFrame(data, "object_id string, content binary").withColumn("format", F.lit("raw"))
+    want = {(f"{o}!content", len(c), plain(c)) for o, c in data if c is not None}
+    for packed in (S.zip64_archives(raw), S.encode_objects(raw, "zip")):
+        entries = S.entry_objects(packed)
+        hashes = P.hash_objects(entries)
+        assert in_arrow(packed) == in_arrow(entries) == in_arrow(hashes) == 1
+        assert {(r.object_id, r.length, r.hash[0]) for r in hashes.collect()} == want
+        apart = P.hash_objects(entries.where("content IS NOT NULL"))  # another table, so a worker of its own
+        assert in_arrow(apart) == 2 and sorted(apart.collect()) == sorted(hashes.collect())
+    kept = entries.cache()
+    assert "InMemoryTableScan" in P.hash_objects(kept)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(P.hash_objects(kept).collect()) == sorted(hashes.collect())
+    kept.unpersist()
+
+
+def test_zip64_limit_is_back_between_batches():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([b"abc"], pa.binary())], ["object_id", "content"])
+    limit = zipfile.ZIP64_LIMIT
+    for made in S._zip64_archives(iter([batch, batch])):
+        assert zipfile.ZIP64_LIMIT == limit and b"\xff\xff\xff\xff" in made["content"][0].as_py()
