@@ -33,7 +33,11 @@ def without_copies(hashes: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def cross_format_matrix(hashes: DataFrame) -> DataFrame:
-    """content_id, fmt_a < fmt_b and match, of objects (content_id, format, length, hash) that should hold the same content."""
+    """content_id, fmt_a < fmt_b and match, of objects (content_id, format, length, hash) that should hold the same content.
+
+    Both sides of the join read one exchange, so that every object is hashed once.
+    """
+    hashes = hashes.repartition("content_id")
     a = hashes.select("content_id", F.col("format").alias("fmt_a"), F.col("hash").alias("__a"), F.col("length").alias("__an"))
     b = hashes.select("content_id", F.col("format").alias("fmt_b"), F.col("hash").alias("__b"), F.col("length").alias("__bn"))
     both = a.join(b, "content_id").where("fmt_a < fmt_b")  # as many rows for each content as there are pairs of formats

@@ -5,7 +5,8 @@ A compressed object's hash is that of its content, so the SQL of every compresse
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -266,11 +267,10 @@ def semi_copies(spark, sf_dir):
     return verify.with_copies(*_two_sides(spark, sf_dir)).select("object_id")
 
 
-def in_all_formats(objects: DataFrame) -> DataFrame:
-    out = objects
-    for fmt in FORMATS:
-        out = out.unionByName(S.encode_objects(objects, fmt))
-    return out
+def in_formats(objects: DataFrame, formats: Iterable[str], run: Callable[[DataFrame], DataFrame] = lambda forms: forms) -> DataFrame:
+    """The objects encoded in each format, or what run makes of each, with the format; run's first step shares the worker that encodes."""
+    parts = [run(objects if fmt == "raw" else S.encode_objects(objects, fmt)).withColumn("format", F.lit(fmt)) for fmt in formats]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -278,11 +278,9 @@ def in_all_formats(objects: DataFrame) -> DataFrame:
     "SELECT item_id::VARCHAR AS content_id, a.fmt AS fmt_a, b.fmt AS fmt_b, true AS match FROM benchmark, f a, f b WHERE a.fmt < b.fmt AND text IS NOT NULL"
 )
 def cross_format_matrix(spark, sf_dir):
-    objects = in_all_formats(S.text_objects(table(spark, sf_dir, "benchmark"), "item_id", "text"))
-    named = objects.withColumn("object_id", F.concat_ws("/", "object_id", "format"))
-    h = P.hash_objects(named, TWO)
-    split = F.split("object_id", "/")
-    return verify.cross_format_matrix(h.select(split[0].alias("content_id"), split[1].alias("format"), "length", "hash"))
+    items = S.text_objects(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    h = in_formats(items, ("raw", *FORMATS), lambda forms: P.hash_objects(forms, TWO))
+    return verify.cross_format_matrix(h.withColumnRenamed("object_id", "content_id"))
 
 
 # compressed objects
@@ -350,10 +348,9 @@ def cross_format_mismatch(spark, sf_dir):
     """The Zstandard form of every third turn holds other content."""
     t = turns(spark, sf_dir)
     wrong = t.withColumn("content", F.when(F.split("object_id", "-")[1].cast("int") % 3 == 0, F.concat("content", F.lit(b"x"))).otherwise(F.col("content")))
-    objects = t.unionByName(S.encode_objects(t, "gzip")).unionByName(S.encode_objects(wrong, "zstd"))
-    h = P.hash_objects(objects.withColumn("object_id", F.concat_ws("/", "object_id", "format")), TWO)
-    split = F.split("object_id", "/")
-    found = verify.cross_format_matrix(h.select(split[0].alias("content_id"), split[1].alias("format"), "length", "hash"))
+    hashes = lambda forms: P.hash_objects(forms, TWO)
+    h = in_formats(t, ("raw", "gzip"), hashes).unionByName(in_formats(wrong, ("zstd",), hashes))
+    found = verify.cross_format_matrix(h.withColumnRenamed("object_id", "content_id"))
     return found.withColumnRenamed("content_id", "object_id")
 
 
@@ -374,9 +371,7 @@ def decode_then_hash(spark, sf_dir):
 
 @query("SELECT conv_id || '-' || turn AS object_id, f.fmt AS format, text FROM conversations, (VALUES ('deflate'), ('gzip'), ('zip'), ('lz4_block'), ('lz4_frame'), ('zstd')) f(fmt)")
 def decode_roundtrip(spark, sf_dir):
-    objects = in_all_formats(turns(spark, sf_dir)).where("format <> 'raw'").withColumn("object_id", F.concat_ws("/", "object_id", "format"))
-    split = F.split("object_id", "/")
-    return P.decode_objects(objects).select(split[0].alias("object_id"), split[1].alias("format"), F.col("content").cast("string").alias("text"))
+    return in_formats(turns(spark, sf_dir), FORMATS, P.decode_objects).select("object_id", "format", F.col("content").cast("string").alias("text"))
 
 
 @query("SELECT doc_id::VARCHAR AS object_id, octet_length(encode(text))::BIGINT AS decoded_size FROM documents")
@@ -386,7 +381,7 @@ def decoded_size(spark, sf_dir):
 
 @query("SELECT conv_id || '-' || turn AS object_id, f.fmt AS format, f.fmt AS found FROM conversations, (VALUES ('gzip'), ('lz4_frame'), ('zstd'), ('raw')) f(fmt)")
 def detect_format(spark, sf_dir):
-    objects = in_all_formats(turns(spark, sf_dir)).where(F.col("format").isin("raw", "gzip", "lz4_frame", "zstd"))
+    objects = in_formats(turns(spark, sf_dir), ("raw", "gzip", "lz4_frame", "zstd"))
     return objects.select("object_id", "format", E.resolve_format(F.col("content"), F.lit("auto")).alias("found"))
 
 
@@ -507,7 +502,7 @@ def inspect_limit(spark, sf_dir):
 
 @query()
 def compression_ratio(spark, sf_dir):
-    return P.info(in_all_formats(turns(spark, sf_dir)))
+    return in_formats(turns(spark, sf_dir), ("raw", *FORMATS), P.info)
 
 
 # chunks

@@ -450,3 +450,33 @@ def test_zip64_limit_is_back_between_batches():
     limit = zipfile.ZIP64_LIMIT
     for made in S._zip64_archives(iter([batch, batch])):
         assert zipfile.ZIP64_LIMIT == limit and b"\xff\xff\xff\xff" in made["content"][0].as_py()
+
+
+def test_forms_of_objects_share_a_worker_with_what_reads_them(spark, sf_dir):
+    from rillprint import queries as Q
+
+    data = [(str(k), c) for k, c in enumerate(ALL[:8])] + [("none", None)]
+    raw = spark.createDataFrame(data, "object_id string, content binary").withColumn("format", F.lit("raw"))
+    got = Q.in_formats(raw, Q.FORMATS, P.decode_objects)
+    assert in_arrow(got) == len(Q.FORMATS)
+    assert sorted((r.object_id, r.format, r.content) for r in got.collect() if r.content is not None) == sorted((o, f, c) for o, c in data if c is not None for f in Q.FORMATS)
+    assert got.where("content IS NULL").count() == len(Q.FORMATS)
+    assert in_arrow(Q.decode_roundtrip(spark, sf_dir)) == len(Q.FORMATS)
+    for name in ("decoded_size", "cdh_gzip_rope", "cdh_multi_sliding_lz4_block"):
+        assert in_arrow(Q.QUERIES[name](spark, sf_dir)) == 1
+
+
+def test_cross_format_matrix_hashes_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(o, f, 1, [int(o == "a" and f == "zstd")]) for o in "ab" for f in ("gzip", "raw", "zstd")] + [(None, "raw", 1, [0]), ("a", None, 1, [0])]
+    ddl = "content_id string, format string, length long, hash array<bigint>"
+    got = verify.cross_format_matrix(spark.createDataFrame(rows, ddl).mapInArrow(count, ddl)).collect()
+    pairs = (("gzip", "raw"), ("gzip", "zstd"), ("raw", "zstd"))
+    assert sorted(tuple(r) for r in got) == sorted((o, a, b, o == "b" or b != "zstd") for o in "ab" for a, b in pairs)
+    assert seen.value == len(rows)
