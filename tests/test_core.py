@@ -466,7 +466,7 @@ def test_forms_of_objects_share_a_worker_with_what_reads_them(spark, sf_dir):
         assert in_arrow(Q.QUERIES[name](spark, sf_dir)) == 1
 
 
-def test_cross_format_matrix_hashes_once(spark):
+def test_cross_format_matrix_hashes_once(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
     def count(batches):
@@ -476,7 +476,8 @@ def test_cross_format_matrix_hashes_once(spark):
 
     rows = [(o, f, 1, [int(o == "a" and f == "zstd")]) for o in "ab" for f in ("gzip", "raw", "zstd")] + [(None, "raw", 1, [0]), ("a", None, 1, [0])]
     ddl = "content_id string, format string, length long, hash array<bigint>"
-    got = verify.cross_format_matrix(spark.createDataFrame(rows, ddl).mapInArrow(count, ddl)).collect()
+    spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/hashes")  # small files: one side is broadcast
+    got = verify.cross_format_matrix(spark.read.parquet(f"{tmp_path}/hashes").mapInArrow(count, ddl)).collect()
     pairs = (("gzip", "raw"), ("gzip", "zstd"), ("raw", "zstd"))
     assert sorted(tuple(r) for r in got) == sorted((o, a, b, o == "b" or b != "zstd") for o in "ab" for a, b in pairs)
     assert seen.value == len(rows)
