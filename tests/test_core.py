@@ -481,3 +481,16 @@ def test_cross_format_matrix_hashes_once(spark, tmp_path):
     pairs = (("gzip", "raw"), ("gzip", "zstd"), ("raw", "zstd"))
     assert sorted(tuple(r) for r in got) == sorted((o, a, b, o == "b" or b != "zstd") for o in "ab" for a, b in pairs)
     assert seen.value == len(rows)
+
+
+def test_lz4_is_not_read_call_by_call(monkeypatch):
+    from rillprint.sources import lz4
+
+    calls, extended = [], lz4._extended
+    monkeypatch.setattr(lz4, "_extended", lambda *a: calls.append(a) or extended(*a))
+    r = random.Random(8)
+    data = b" ".join(r.choice([b"alpha", b"beta", b"gamma", b"delta", b"epsilon%d" % r.randint(0, 99)]) for _ in range(3000))
+    for fmt in ("lz4_block", "lz4_frame"):
+        calls.clear()
+        ops = extract(S.encode(data, fmt), fmt)
+        assert lz77.decode(ops) == data and len(calls) < len(ops) / 2  # one by one, two for each match
