@@ -4,7 +4,8 @@ A byte goes if a string of WINDOW bytes that covers it also starts in a document
 
 1. Texts are written in blocks to the shared folder.
 2. Every window is given an anchor: the GRAM bytes in it with the least hash (the leftmost of equals).  Equal windows
-   have equal anchors, so only windows whose anchor is found in several documents can repeat.  Blocks say which anchors
+   have equal anchors, so only windows whose anchor is found in several documents can repeat.  Shorter grams are also
+   shared by chance, and by more documents the more there are.  Blocks say which anchors
    they have, once each, and hear which of them are shared: a very frequent one costs an entry for each block.
    Segments of an anchor that alone would fill a shard are split into their windows, each of which is
    its own anchor, and blocks say and hear of these windows, too: an edge of boilerplate is dealt over all shards,
@@ -18,8 +19,9 @@ A byte goes if a string of WINDOW bytes that covers it also starts in a document
 
 What moves is one compressed row for each block and shard that have to do with one another.  There are MAX_SHARDS at
 most, so a block has a bounded number of rows and all of them grow with the input; beyond MAX_SHARDS * SHARD_BYTES of text
-the shards grow instead, which the sort is for.  Of a shard, 20 bytes for each segment (of 67 bytes on average) stay in
-memory, and while shared anchors are looked for, 40 for each of its anchors.
+the shards grow instead, which the sort is for.  Anchors are dealt by the bytes of all text, segments by the bytes of
+those that are shared, so that a sort is as large however much repeats.  Of a shard, 20 bytes for each segment (of 63
+bytes on average) stay in memory, and while shared anchors are looked for, 40 for each of its anchors.
 """
 
 from __future__ import annotations
@@ -41,13 +43,15 @@ from .common import new_path, small_batches, written
 from .suffix import GAP, Queue, Store, Stored, Text, descending
 
 WINDOW = 50
-GRAM = 16
+GRAM = 24  # three words of 8 bytes
 STARTS = WINDOW - GRAM + 1  # places of a gram in a window
-BLOCK_BYTES = 4 << 20  # of text; a longer text has a block of its own
-SHARD_BYTES = 12 << 20  # of text for each shard on the whole
+BLOCK_BYTES = 8 << 20  # of text; a longer text has a block of its own
+HASH_BYTES = 1 << 20  # of text whose strings are hashed together
+SHARD_BYTES = 16 << 20  # for each shard on the whole: of text while anchors are looked for, of segments in a sort
 STEP = 1 << 16  # windows looked at together, in the processor's cache
 MAX_SHARDS = 1 << 16
-PIECE_BYTES = 24 << 20  # of segments that are made distinct at once
+PIECE_BYTES = 4 * SHARD_BYTES  # of segments that are made distinct at once: all of a shard, unless it is far above the others
+SEGMENT_BYTES = WINDOW + STARTS // 2 + 17  # on average, with its anchor, smallest id and size
 HOT_SEGMENTS = SHARD_BYTES // (WINDOW + STARTS - 1)  # of an anchor; those of more are dealt by window
 
 BLOCKS = "block long, path string, bytes long"
@@ -155,11 +159,12 @@ def segments(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for low in range(0, max(windows, 0), STEP):
         high = min(low + STEP, windows)
         n = high - low + STARTS - 1  # grams in these windows
-        words = np.empty(n + 8, np.uint64)
+        words = np.empty(n + GRAM - 8, np.uint64)
         for k in range(8):
-            words[k::8] = np.frombuffer(raw, "<u8", len(range(k, n + 8, 8)), low + k)
+            words[k::8] = np.frombuffer(raw, "<u8", len(range(k, len(words), 8)), low + k)
         h = words[:n] * np.uint64(_BASE)
-        h += words[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h += words[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h += words[16:] * np.uint64(0x165667B19E3779F9)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
@@ -197,7 +202,7 @@ def shard_of(anchor: np.ndarray, shards: int) -> np.ndarray:
 
 @functools.lru_cache(maxsize=2)
 def _powers(base: int) -> np.ndarray:
-    powers = np.full(2 * BLOCK_BYTES + 1, np.uint64(base))
+    powers = np.full(2 * HASH_BYTES + 1, np.uint64(base))
     powers[0] = 1
     return np.multiply.accumulate(powers)
 
@@ -207,9 +212,9 @@ def string_hashes(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
     powers, inverse = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
     h = np.empty(len(start), np.uint64)
     low = 0
-    while low < len(start):  # those that begin in the next BLOCK_BYTES
+    while low < len(start):  # those that begin in the next HASH_BYTES
         origin = start[low]
-        high = int(np.searchsorted(start, origin + BLOCK_BYTES))
+        high = int(np.searchsorted(start, origin + HASH_BYTES))
         at, own = start[low:high] - origin, size[low:high]
         some = text[origin : origin + int((at + own).max())]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[some] * powers[: len(some)], dtype=np.uint64)])
@@ -270,7 +275,7 @@ def anchors(own: tuple[np.ndarray, np.ndarray], shards: int) -> Iterator[tuple[i
 def shared_anchors(group: pd.DataFrame, most: int) -> pd.DataFrame:
     """All blocks' anchors of one shard to a row of bits for each block: which are in several documents.
 
-    The first row also has those of them with over ``most`` segments, and the number of these.
+    The first row also has those of them with over ``most`` segments, the number of these, and that of all with shared anchors.
     """
     parts = [unpacked(b, "<u8", "u1", "<u4") for b in group["blob"]]
     own = [np.cumsum(a, dtype=np.uint64) for a, *_ in parts]
@@ -280,12 +285,12 @@ def shared_anchors(group: pd.DataFrame, most: int) -> pd.DataFrame:
     shared[inverse[np.concatenate([s for _, s, _ in parts]).astype(bool)]] = True
     ends = np.cumsum([0, *map(len, own)])
     bits = shared[inverse]
-    rows = [(s, b, np.packbits(bits[i:j]).tobytes(), None, 0) for s, b, i, j in zip(group["shard"], group["block"], ends, ends[1:]) if bits[i:j].any()]
+    rows = [(s, b, np.packbits(bits[i:j]).tobytes(), None, 0, 0) for s, b, i, j in zip(group["shard"], group["block"], ends, ends[1:]) if bits[i:j].any()]
     all_of = np.bincount(inverse, np.concatenate([n for *_, n in parts]), len(found))
     hot = shared & (all_of > most)
-    if hot.any():
-        rows[0] = (*rows[0][:3], found[hot].tobytes(), int(all_of[hot].sum()))
-    return pd.DataFrame(rows, columns=["shard", "block", "blob", "hot", "hot_segments"])
+    if rows:
+        rows[0] = (*rows[0][:3], found[hot].tobytes() if hot.any() else None, int(all_of[hot].sum()), int(all_of[shared].sum()))
+    return pd.DataFrame(rows, columns=["shard", "block", "blob", "hot", "hot_segments", "segments"])
 
 
 def shared_of(own: tuple[np.ndarray, np.ndarray], told: list[dict] | None, shards: int) -> np.ndarray:
@@ -515,17 +520,19 @@ class Finish:
         for batch in batches:
             for path, told, again, heard in zip(*(batch[c].to_pylist() for c in ("path", "told", "again", "heard"))):
                 block = Block(path, self.hot)
-                change = np.zeros(len(block.text) + 1, np.int64)
+                change = np.zeros(len(block.text) + 1, np.int32)
                 if heard:
                     own = Distinct(block, told, again, self.first_shards, self.shards)
-                    for s in heard:
-                        seg, low, high, smallest = unpacked(s["blob"], "<i4", "u1", "u1", "<i8")
-                        which, place = own.places(own.of(s["shard"]).start + seg.astype(np.int64))
-                        gone = own.ids[place] > smallest[which]
-                        which, place = which[gone], place[gone]
-                        np.add.at(change, own.first[place] + low[which], 1)
-                        np.add.at(change, own.first[place] + high[which] + WINDOW, -1)
-                yield self.rows(block, np.cumsum(change[:-1]) > 0)
+                    starts = np.searchsorted(own.shard, [s["shard"] for s in heard])
+                    parts = [unpacked(s["blob"], "<i4", "u1", "u1", "<i8") for s in heard]
+                    seg = np.concatenate([p[0] + start for p, start in zip(parts, starts)])
+                    low, high, smallest = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+                    which, place = own.places(seg)
+                    gone = own.ids[place] > smallest[which]
+                    which, place = which[gone], place[gone]
+                    np.add.at(change, own.first[place] + low[which], 1)
+                    np.add.at(change, own.first[place] + high[which] + WINDOW, -1)
+                yield self.rows(block, np.cumsum(change[:-1], dtype=np.int32) > 0)
 
     def rows(self, block: Block, gone: np.ndarray) -> pa.RecordBatch:
         removed, spans, digest, texts, start = [], [], [], [], 0
@@ -566,20 +573,20 @@ def remove_repeats(docs: DataFrame, texts: bool = False, memory: int | None = No
 
     def say(hot: np.ndarray, shards: int) -> DataFrame:
         said = spread.mapInArrow(Anchors(shards, hot), table)
-        return written(said.groupBy("shard").applyInPandas(lambda group: shared_anchors(group, HOT_SEGMENTS), table + ", hot binary, hot_segments long"), "shared-anchors")
+        return written(said.groupBy("shard").applyInPandas(lambda group: shared_anchors(group, HOT_SEGMENTS), table + ", hot binary, hot_segments long, segments long"), "shared-anchors")
 
     gather = lambda df, name: df.groupBy("block").agg(F.collect_list(F.struct("shard", "blob")).alias(name))  # a row for each shard at most
     first_shards, shared = shards, say(np.zeros(0, np.uint64), shards)
     told = blocks.join(gather(shared, "told"), "block", "left")
-    found = shared.where("hot IS NOT NULL").select("hot", "hot_segments").collect()  # 8 bytes for every HOT_SEGMENTS segments at most
-    hot = np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in found), np.uint64))
+    found = shared.where("segments > 0").select("hot", "hot_segments", "segments").collect()  # of each shard one, and 8 bytes for every HOT_SEGMENTS segments at most
+    hot = np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in found if r[0]), np.uint64))
+    split = sum(r[1] for r in found) * (STARTS // 2)  # a segment has STARTS / 2 windows on average
+    shards = min(MAX_SHARDS, 1 + ((sum(r[2] - r[1] for r in found) + split) * SEGMENT_BYTES) // SHARD_BYTES)
     if len(hot):
-        # a segment has STARTS / 2 windows on average, and a text one segment for as many bytes
-        shards = min(MAX_SHARDS, 1 + (total + sum(r[1] for r in found) * (STARTS // 2) ** 2) // SHARD_BYTES)
         told = told.join(gather(say(hot, shards), "again"), "block", "left")
     else:
         told = told.withColumn("again", F.lit(None).cast("array<struct<shard: bigint, blob: binary>>"))
-    sent = told.repartition(tasks, "block").mapInArrow(Send(first_shards, shards, hot), table).repartition(shards, "shard").sortWithinPartitions("shard")
+    sent = told.repartition(tasks, "block").mapInArrow(Send(first_shards, shards, hot), table).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
     heard = written(sent.mapInArrow(SortShards(new_path(spark, "sorts"), memory), table), "repeats")
     ready = told.join(gather(heard, "heard"), "block", "left").repartition(tasks, "block")
     return ready.mapInArrow(Finish(first_shards, shards, hot, texts), RESULT + (", kept binary" if texts else ""))

@@ -334,6 +334,30 @@ def test_equal_hashes_are_compared(monkeypatch):
     assert all(len(set(g)) == 1 for g in groups) and sum(map(len, groups)) == 4
 
 
+def test_grams_shared_by_chance_are_not_sent(tmp_path):
+    """What goes to the sorts follows the repeats: short grams that meet by chance, the more the larger the table, are no anchors."""
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    syllables = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(2, 4))) for _ in range(12)]
+    fresh = lambda: "".join(rng.choice(syllables) for _ in range(700))
+    copied = fresh()
+    docs = [(i, fresh()) for i in range(300)] + [(300, copied), (301, copied)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs]})
+    path = next(suffix_dedup.WriteBlocks(f"file://{tmp_path}")(iter([batch])))["path"][0].as_py()
+    said = next(suffix_dedup.Anchors(1, np.zeros(0, np.uint64))(iter([pa.RecordBatch.from_pydict({"block": [1], "path": [path]})])))
+    block = suffix_dedup.Block(path, np.zeros(0, np.uint64))
+    docs_of = {}
+    for a, d in zip(block.anchor.tolist(), block.doc.tolist()):
+        docs_of.setdefault(a, set()).add(d)
+    shared = [len(docs_of[a]) > 1 for a in block.anchor.tolist()]
+    told = suffix_dedup.shared_anchors(pd.DataFrame(said.to_pydict()), 1 << 40)
+    assert told["segments"].tolist() == [sum(shared)]  # the number of sorts is made from it
+    copies = int((block.doc >= 300).sum())
+    assert copies <= sum(shared) < 1.5 * copies
+
+
 def test_suffix_dedup_splits_hot_anchors(spark, tmp_path, monkeypatch):
     import pandas as pd
     import pyarrow as pa
